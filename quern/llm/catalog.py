@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import exact_dedup, sharding
+from quern.llm import exact_dedup, sharding, topk_search, url_filter
 from quern.llm.common import table
 
 
@@ -14,6 +14,15 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_urls(table(spark, sf_dir, "pages"))
+
+
+def op5_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk_search.top_k(vectors, vectors.filter("vec_id % 100 = 0"), k=10)
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), shards=16)
 
@@ -21,6 +30,8 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
+        "op3_url_filter": op3_url_filter,
+        "op5_topk_search": op5_topk_search,
         "op7_sharding": op7_sharding,
     }
 
@@ -28,5 +39,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_exact_dedup": exact_dedup.ORACLE,
+        "op3_url_filter": url_filter.oracle(),
+        "op5_topk_search": topk_search.ORACLE,
         "op7_sharding": sharding.oracle(16),
     }
