@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import exact_dedup, sharding, topk_search, url_filter
+from quern.llm import exact_dedup, near_dedup, sharding, topk_search, url_filter
 from quern.llm.common import table
 
 
@@ -27,12 +27,17 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), shards=16)
 
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
         "op3_url_filter": op3_url_filter,
         "op5_topk_search": op5_topk_search,
         "op7_sharding": op7_sharding,
+        "op8_near_dedup": op8_near_dedup,
     }
 
 
