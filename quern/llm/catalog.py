@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import exact_dedup, near_dedup, sharding, topk_search, url_filter
+from quern.llm import exact_dedup, near_dedup, sharding, source_mixing, topk_search, url_filter
 from quern.llm.common import table
 
 
@@ -31,6 +31,11 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    uses = source_mixing.mix(table(spark, sf_dir, "documents"))
+    return uses.select("row.doc_id", "row.source", "n_tokens", "epoch", "weight", "mix_block")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
@@ -38,6 +43,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_topk_search": op5_topk_search,
         "op7_sharding": op7_sharding,
         "op8_near_dedup": op8_near_dedup,
+        "op10_source_mixing": op10_source_mixing,
     }
 
 
@@ -47,4 +53,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_url_filter": url_filter.oracle(),
         "op5_topk_search": topk_search.ORACLE,
         "op7_sharding": sharding.oracle(16),
+        "op10_source_mixing": source_mixing.ORACLE,
     }
