@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quern.llm import exact_dedup, near_dedup, sharding, source_mixing, topk_search, url_filter
+from quern.llm import exact_dedup, line_dedup, near_dedup, sharding, source_mixing, topk_search, url_filter
 from quern.llm.common import table
 
 
@@ -18,6 +19,11 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    deduped = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return deduped.select("row.doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+
+
 def op5_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return topk_search.top_k(vectors, vectors.filter("vec_id % 100 = 0"), k=10)
@@ -40,6 +46,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
         "op3_url_filter": op3_url_filter,
+        "op4_line_dedup": op4_line_dedup,
         "op5_topk_search": op5_topk_search,
         "op7_sharding": op7_sharding,
         "op8_near_dedup": op8_near_dedup,
@@ -51,6 +58,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_exact_dedup": exact_dedup.ORACLE,
         "op3_url_filter": url_filter.oracle(),
+        "op4_line_dedup": line_dedup.ORACLE,
         "op5_topk_search": topk_search.ORACLE,
         "op7_sharding": sharding.oracle(16),
         "op10_source_mixing": source_mixing.ORACLE,
