@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import exact_dedup, line_dedup, near_dedup, sharding, source_mixing, topk_search, url_filter
+from quern.llm import bpe, exact_dedup, line_dedup, near_dedup, sharding, source_mixing, topk_search, url_filter
 from quern.llm.common import table
 
 
@@ -29,6 +30,10 @@ def op5_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.top_k(vectors, vectors.filter("vec_id % 100 = 0"), k=10)
 
 
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.tokenise(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), shards=16)
 
@@ -48,6 +53,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_url_filter": op3_url_filter,
         "op4_line_dedup": op4_line_dedup,
         "op5_topk_search": op5_topk_search,
+        "op6_bpe": op6_bpe,
         "op7_sharding": op7_sharding,
         "op8_near_dedup": op8_near_dedup,
         "op10_source_mixing": op10_source_mixing,
