@@ -20,10 +20,11 @@ from pyspark.sql import functions as F
 from quern.llm.common import text_of
 
 #: White space as Unicode has it; fixed value of the tokenizer's pattern.
-SPACE = r"\t-\r \x85\xa0  -     　"
+SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Fixed value: the pattern that cuts a text into words before the merges.
 WORDS = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 MAGIC = b"MATX"
+LONGEST = 64  # bytes of a word of the lexicon; longer ones are merged
 
 
 def byte_letters() -> list[str]:
@@ -205,9 +206,9 @@ class Tokenizer:
 
 
 def frequent_words(docs: DataFrame, most: int = 50_000, text_col: str = "text") -> list[str]:
-    """The words that occur most often in all texts, at most `most`; ties go to the smaller word."""
+    """The words of up to LONGEST bytes that occur most often in all texts, at most `most`; ties go to the smaller word."""
     words = docs.select(F.explode(F.regexp_extract_all(text_of(text_col), F.lit(WORDS), F.lit(0))).alias("word"))
-    counted = words.groupBy("word").agg(F.count("*").alias("n"))
+    counted = words.filter(F.octet_length("word") <= LONGEST).groupBy("word").agg(F.count("*").alias("n"))
     return [r.word for r in counted.orderBy(F.desc("n"), "word").limit(most).collect()]
 
 

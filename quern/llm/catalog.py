@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import bpe, exact_dedup, line_dedup, near_dedup, sharding, source_mixing, topk_search, url_filter
+from quern.llm import bpe, exact_dedup, language_id, line_dedup, near_dedup, sharding, source_mixing, topk_search, url_filter
 from quern.llm.common import table
 
 
@@ -42,6 +42,10 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify_languages(table(spark, sf_dir, "documents"))
+
+
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     uses = source_mixing.mix(table(spark, sf_dir, "documents"))
     return uses.select("row.doc_id", "row.source", "n_tokens", "epoch", "weight", "mix_block")
@@ -56,6 +60,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_bpe": op6_bpe,
         "op7_sharding": op7_sharding,
         "op8_near_dedup": op8_near_dedup,
+        "op9_language_id": op9_language_id,
         "op10_source_mixing": op10_source_mixing,
     }
 
