@@ -54,6 +54,14 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """name, with underscores behind it until no column in `taken` has it (whatever the case of its letters)."""
+    lower = {t.lower() for t in taken}
+    while name.lower() in lower:
+        name += "_"
+    return name
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     """Whether crc32 of the id as text leaves 1 when divided by 3; a null id is never held out."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))

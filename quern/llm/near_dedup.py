@@ -11,8 +11,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quern.llm.common import written
+from quern.llm.common import free_name, written
 
 WIDTH = 64
 #: Shingles of one text that are voted on at a time.
@@ -52,13 +53,16 @@ def fingerprint(text: str | None, width: int = 3) -> int:
     return int(np.packbits(2 * votes > count, bitorder="little").view(np.uint64)[0])
 
 
+def _column_of(texts: pa.Array) -> pa.Array:
+    return pa.array(np.fromiter((fingerprint(x.as_py()) for x in texts), np.uint64, len(texts)).view(np.int64))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and fp (the 64 bits as a signed long) of each row; texts are hashed where they are read."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bits = np.fromiter((fingerprint(x.as_py()) for x in batch.column("text")), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(bits.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), _column_of(batch.column("text"))], names=["doc_id", "fp"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(hashed, "doc_id long, fp long")
 
@@ -240,10 +244,38 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Returns doc_id, fingerprint (16 lower-case hexadecimal digits), component_id; a row for each row of docs.
     """
     rows = written(fingerprints(docs, id_col, text_col), "fingerprints")
+    named = named_components(rows, most)
+    return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def named_components(rows: DataFrame, most: int = 3) -> DataFrame:
+    """fp, component (a fingerprint of it) and component_id for each fingerprint of rows (doc_id, fp)."""
     nodes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "fingerprint-nodes")
     comp = components(links(nodes, most))
     tied = nodes.join(comp, nodes.fp == comp.node, "left").select("fp", "least_id", F.coalesce("component", "fp").alias("component"))
     tied = written(tied, "fingerprint-components")
     least = tied.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    named = tied.join(least, "component").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return tied.join(least, "component").select("fp", "component", "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = 3) -> DataFrame:
+    """docs with one row of each component: the one with the least id, a null id coming last; of rows that share it, one.
+
+    Rows are written once with their fingerprint and a number of their own, from which everything else is read; only
+    ids, numbers and fingerprints are grouped. Texts move once, to meet the numbers of the rows that stay.
+    """
+    fp, row = free_name("fp", docs.columns), free_name("row", docs.columns)
+    schema = T.StructType([*docs.schema.fields, T.StructField(fp, T.LongType())])
+    where = docs.columns.index(text_col)
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, _column_of(batch.column(where))], names=[*batch.schema.names, fp])
+
+    rows = written(docs.mapInArrow(hashed, schema).withColumn(row, F.monotonically_increasing_id()), "near-dedup-rows")
+    narrow = rows.select(F.col(id_col).alias("doc_id"), F.col(fp).alias("fp"), F.col(row).alias("row"))
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")
+    firsts = narrow.groupBy("fp").agg(F.min(order).alias("first"))
+    named = firsts.join(written(named_components(narrow, most), "near-dedup-named"), "fp")
+    stay = named.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.row").alias(row))
+    return rows.join(written(stay, "near-dedup-stay"), row, "left_semi").select(docs.columns)

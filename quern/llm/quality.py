@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.common import held_out, sampled_ids, written
+from quern.llm.common import free_name, held_out, sampled_ids, written
 
 #: Bytes of a passage, hashed pairs of bytes, bins in which runs of four bytes are told apart, bytes that are encoded at a time.
 PASSAGE, PAIRS, RUNS, STRETCH = 512, 256, 1024, 1 << 20
@@ -206,14 +206,12 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         for batch in batches:
             found = [model.forward(x, np.array(counts)) for _, counts, x in bags(batch.column(where).to_pylist())]
             p = pa.array(np.concatenate(found).astype(np.float64) if found else [], pa.float64())
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in range(where)), p], names=names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names) - 1], p], names=names)
 
     if keep:
-        whole = docs.select("*", F.col(text_col).alias("quality_text"))
-        names, schema = [*docs.columns, "quality_score"], T.StructType([*docs.schema.fields, T.StructField("quality_score", T.DoubleType())])
-    else:
-        whole = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).alias("quality_text"))
-        names, schema = ["doc_id", "held_out", "score"], "doc_id long, held_out boolean, score double"
-    where = len(whole.columns) - 1
-    found = whole.mapInArrow(scores, schema)
-    return found if keep else found.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+        whole, where = docs, docs.columns.index(text_col)
+        names = [*docs.columns, free_name("quality_score", docs.columns)]
+        return whole.mapInArrow(scores, T.StructType([*docs.schema.fields, T.StructField(names[-1], T.DoubleType())]))
+    whole, where, names = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).alias("text")), 2, ["doc_id", "held_out", "score"]
+    found = whole.mapInArrow(scores, "doc_id long, held_out boolean, score double")
+    return found.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
