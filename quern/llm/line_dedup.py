@@ -19,28 +19,30 @@ DEPTH, PARTS, LEAST = 3, 8, 5
 
 
 def tokens_of(line: Column) -> Column:
-    """Tokens of a line, variable fields generalised."""
-    return F.filter(F.split(F.regexp_replace(line, FIELD_ONCE, FIELD_MARK), GAP), lambda x: x != "")
+    """Tokens of a line, variable fields generalised. A line without any has one empty token."""
+    general = F.when(F.rlike(line, F.lit("[0-9]")), F.regexp_replace(line, FIELD_ONCE, FIELD_MARK)).otherwise(line)
+    return F.split(F.trim(general, F.lit(" \t\x0b\f\r")), GAP)
 
 
 def _parts(tokens: Column) -> Column:
     """Hashes of the tokens behind the leading ones, cut into min(PARTS, how many) runs of as equal length as can be."""
-    rest = F.slice(tokens, F.lit(DEPTH + 1), F.size(tokens))
-    many = F.size(rest)
+    many = F.size(tokens) - DEPTH
     cut = F.least(many, F.lit(PARTS))
     begin = lambda g: F.floor(g * many / cut).cast("int")
-    return F.transform(F.sequence(F.lit(0), cut - 1), lambda g: F.hash(F.slice(rest, begin(g) + 1, begin(g + 1) - begin(g))))
+    return F.transform(F.sequence(F.lit(0), cut - 1), lambda g: F.hash(F.slice(tokens, begin(g) + DEPTH + 1, begin(g + 1) - begin(g))))
 
 
 def parsed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc (a hash of id and text), id, line (its number from 0), leaf and parts of each line that is long enough.
 
     The tree has a fixed depth: token count, then the DEPTH leading tokens; a leaf is a hash of that path. A row is
-    small however long its line is.
+    small however long its line is. A line's tokens come out of a generator, which computes them once whatever is made
+    of them; a document's text does not go along with its lines.
     """
     text = text_of(text_col)
-    lines = docs.select(F.xxhash64(F.col(id_col), text).alias("doc"), F.col(id_col).alias("id"), F.posexplode(F.split(text, "\n")).alias("line", "content"))
-    cut = lines.select("doc", "id", "line", tokens_of(F.col("content")).alias("tokens")).filter(F.size("tokens") >= LEAST)
+    whole = docs.select(F.xxhash64(F.col(id_col), text).alias("doc"), F.col(id_col).alias("id"), F.split(text, "\n").alias("lines"))
+    lines = whole.select("doc", "id", F.posexplode("lines").alias("line", "content"))
+    cut = lines.select("doc", "id", "line", F.explode(F.array(tokens_of(F.col("content")))).alias("tokens")).filter(F.size("tokens") >= LEAST)
     path = F.xxhash64(F.size("tokens"), F.slice("tokens", 1, DEPTH))
     return cut.select("doc", "id", "line", path.alias("leaf"), _parts(F.col("tokens")).alias("parts"))
 
