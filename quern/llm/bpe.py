@@ -7,9 +7,12 @@ import json
 import mmap
 import struct
 import tempfile
+from array import array
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from heapq import heappop, heappush
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +27,7 @@ SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Fixed value: the pattern that cuts a text into words before the merges.
 WORDS = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 MAGIC = b"MATX"
+SHORT = 128  # bytes of a word up to which merges look at all pairs
 LONGEST = 64  # bytes of a word of the lexicon; longer ones are merged
 
 
@@ -47,7 +51,14 @@ class Vocabulary:
         for content in self.special:
             self.ids.pop(content.encode(), None)
         pairs = (m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"])
-        self.ranks = {(plain(a), plain(b)): rank for rank, (a, b) in enumerate(pairs)}
+        #: Pair of ids, as one number, to the rank of its merge; ids that merges make, by rank.
+        self.ranks: dict[int, int] = {}
+        self.made: list[int] = []
+        for a, b in pairs:
+            left, right = plain(a), plain(b)
+            self.ranks.setdefault(self.ids[left] << 20 | self.ids[right], len(self.made))
+            self.made.append(self.ids[left + right])
+        self.byte_ids = [self.ids[bytes([b])] for b in range(256)]
         self.tokens = [b""] * (1 + max([*self.ids.values(), *self.special.values()]))
         for token, i in self.ids.items():
             self.tokens[i] = token
@@ -55,30 +66,46 @@ class Vocabulary:
             self.tokens[i] = content.encode()
 
     def merge(self, word: bytes) -> list[int]:
-        """Ids of a word: the pair of least rank merges, leftmost first, until none is left; n log n steps for n bytes."""
-        parts = [word[i : i + 1] for i in range(len(word))]
+        """Ids of a word: the pair of least rank merges, leftmost first, until none is left."""
+        if len(word) > SHORT:
+            return self._merge_long(word)
+        parts, rank_of, never = [self.byte_ids[b] for b in word], self.ranks.get, len(self.made)
+        ranks = [rank_of(a << 20 | b, never) for a, b in pairwise(parts)]
+        while ranks and (least := min(ranks)) < never:
+            i = ranks.index(least)
+            parts[i : i + 2] = [new] = [self.made[least]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = rank_of(parts[i - 1] << 20 | new, never)
+            if i < len(ranks):
+                ranks[i] = rank_of(new << 20 | parts[i + 1], never)
+        return parts
+
+    def _merge_long(self, word: bytes) -> list[int]:
+        """The same in n log n steps for n bytes."""
+        parts = [self.byte_ids[b] for b in word]
         after = list(range(1, len(parts) + 1))
         before = list(range(-1, len(parts) - 1))
-        waiting = []
+        waiting: list[tuple[int, int, int, int]] = []
 
         def offer(i: int, j: int) -> None:
-            if i >= 0 and j < len(parts) and (rank := self.ranks.get((parts[i], parts[j]))) is not None:
+            if i >= 0 and j < len(parts) and (rank := self.ranks.get(parts[i] << 20 | parts[j])) is not None:
                 heappush(waiting, (rank, i, parts[i], parts[j]))
 
         for i in range(len(parts) - 1):
             offer(i, i + 1)
         while waiting:
-            _, i, a, b = heappop(waiting)
+            rank, i, a, b = heappop(waiting)
             j = after[i]
             if parts[i] != a or j >= len(parts) or parts[j] != b:
                 continue  # one of the two has merged meanwhile
-            parts[i], parts[j] = a + b, b""
+            parts[i], parts[j] = self.made[rank], -1
             after[i] = after[j]
             if after[j] < len(parts):
                 before[after[j]] = i
             offer(before[i], i)
             offer(i, after[i])
-        return [self.ids[p] for p in parts if p]
+        return [p for p in parts if p >= 0]
 
 
 def compile_lexicon(entries: Iterable[tuple[bytes, list[int]]]) -> bytes:
@@ -143,7 +170,7 @@ class Lexicon:
             raise ValueError("not a compiled lexicon")
         at, views = 32, []
         for n in struct.unpack("<7i", block[4:32]):
-            views.append(np.frombuffer(block, np.int32, n, at))
+            views.append(memoryview(block)[at : at + 4 * n].cast("i"))
             at += 4 * n
         self.first, self.label, self.target, self.skipped, self.final, self.starts, self.flat = views
         self.root = len(self.final) - 1
@@ -156,13 +183,13 @@ class Lexicon:
             file.flush()
             return cls(mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ))
 
-    def ids(self, word: bytes) -> np.ndarray | None:
+    def ids(self, word: bytes) -> memoryview | None:
         """The word's ids, or None if it isn't in the lexicon."""
-        state, number = self.root, 0
+        first, label, state, number = self.first, self.label, self.root, 0
         for c in word:
-            a, b = self.first[state], self.first[state + 1]
-            arc = a + int(np.searchsorted(self.label[a:b], c))
-            if arc == b or self.label[arc] != c:
+            end = first[state + 1]
+            arc = bisect_left(label, c, first[state], end)
+            if arc == end or label[arc] != c:
                 return None
             number += self.skipped[arc]
             state = self.target[arc]
@@ -182,7 +209,7 @@ class Tokenizer:
     def _packed(self, word: str) -> bytes:
         data = word.encode("utf-8", "replace")
         found = self.lexicon.ids(data) if self.lexicon is not None else None
-        out = (np.array(self.vocabulary.merge(data), np.int32) if found is None else found).tobytes()
+        out = array("i", self.vocabulary.merge(data)).tobytes() if found is None else found.tobytes()
         if len(word) < 64:
             if len(self.memory) >= self.remembered:
                 self.memory.clear()

@@ -54,6 +54,12 @@ def test_transducer_finds_its_words_and_no_others():
     assert Lexicon.mapped(compile_lexicon([])).ids(b"a") is None
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.binary(max_size=80))
+def test_both_ways_to_merge_agree(word):
+    assert VOCABULARY.merge(word) == VOCABULARY._merge_long(word)
+
+
 def test_suffixes_are_shared():
     ends = [a + b"ation" for a in (b"n", b"st", b"form", b"cre")]
     assert len(Lexicon.mapped(compile_lexicon((w, [1, 2]) for w in ends)).final) < 16
