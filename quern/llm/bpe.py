@@ -233,10 +233,15 @@ class Tokenizer:
 
 
 def frequent_words(docs: DataFrame, most: int = 50_000, text_col: str = "text") -> list[str]:
-    """The words of up to LONGEST bytes that occur most often in all texts, at most `most`; ties go to the smaller word."""
-    words = docs.select(F.explode(F.regexp_extract_all(text_of(text_col), F.lit(WORDS), F.lit(0))).alias("word"))
+    """The words of up to LONGEST bytes of which each makes up 1 / most of all bytes or more, counted over all texts.
+
+    There can be no more than `most` of them, so the driver gets a bounded list whatever the corpus, without a sort.
+    """
+    text = text_of(text_col)
+    whole = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("bytes")).first().bytes
+    words = docs.select(F.explode(F.regexp_extract_all(text, F.lit(WORDS), F.lit(0))).alias("word"))
     counted = words.filter(F.octet_length("word") <= LONGEST).groupBy("word").agg(F.count("*").alias("n"))
-    return [r.word for r in counted.orderBy(F.desc("n"), "word").limit(most).collect()]
+    return sorted(r.word for r in counted.filter(F.col("n") * F.octet_length("word") * most >= whole).collect())
 
 
 @lru_cache(maxsize=2)
@@ -259,7 +264,7 @@ def _tokenizer(path: str, data: bytes) -> Tokenizer:
 def tokenise(docs: DataFrame, vocabulary_path: str, lexicon_words: int = 50_000, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
     """Encode every whole text and decode it again.
 
-    The words that are most frequent in the whole corpus are counted first (in Spark), merged once on the driver and
+    The words that are frequent in the whole corpus are found first (in Spark), merged once on the driver and
     compiled into a minimal transducer, whose size the number of words bounds; it is broadcast and memory-mapped by
     each worker. Words outside it are merged exactly. Which words it holds changes the speed alone, never the ids.
 

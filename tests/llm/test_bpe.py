@@ -81,9 +81,10 @@ def test_table_and_edge_cases(spark):
 
 
 def test_frequent_words_are_counted_over_all_texts(spark):
-    docs = spark.createDataFrame([("a b b",), ("b c",), (None,)], "text string")
-    assert frequent_words(docs, 2) == [" b", " c"]
-    assert frequent_words(docs, 9) == [" b", " c", "a", "b"]
+    docs = spark.createDataFrame([("a b b",), ("b c",), (None,), ("x" * 65,)], "text string")
+    assert frequent_words(docs, 9999) == [" b", " c", "a", "b"]
+    assert frequent_words(docs.limit(3), 3) == [" b"]
+    assert frequent_words(docs.limit(0), 3) == []
 
 
 def test_fixture_table_matches_library(spark):
