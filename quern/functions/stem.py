@@ -7,7 +7,7 @@ behind one of aeiou; so a letter's kind depends on what precedes it alone, and t
 from __future__ import annotations
 
 import re
-from functools import lru_cache
+from functools import cache, lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,112 +28,126 @@ RULES = (("derived", DERIVED, 1), ("adjectival", ADJECTIVAL, 1), ("final", tuple
 CONSONANT_Y, VOWELS = r"^y|(?<=[aeiou])y", "aeiouy"
 
 
-def pattern_of(word: Column) -> Column:
-    kinds = F.regexp_replace(F.translate(F.regexp_replace(word, CONSONANT_Y, "Y"), VOWELS, "v" * len(VOWELS)), "[^v]", "c")
-    return F.regexp_replace(kinds, "(?<!c)c", "C")
+# The steps are SQL text over the names of a word and of its pattern, which Spark parses at once; built call by call
+# as columns they would take seconds to make.
 
 
-def _before(word: Column, suffix: int) -> Column:
-    return F.left(word, F.char_length(word) - suffix)
+def _pattern(word: str) -> str:
+    kinds = f"regexp_replace(translate(regexp_replace({word}, '{CONSONANT_Y}', 'Y'), '{VOWELS}', '{'v' * len(VOWELS)}'), '[^v]', 'c')"
+    return f"regexp_replace({kinds}, '(?<!c)c', 'C')"
 
 
-def _measure(pattern: Column, suffix: int) -> Column:
+def _before(word: str, suffix: int) -> str:
+    return f"left({word}, char_length({word}) - {suffix})"
+
+
+def _measure(pattern: str, suffix: int) -> str:
     own = _before(pattern, suffix)
-    return F.length(own) - F.length(F.replace(own, F.lit("C")))
+    return f"(char_length({own}) - char_length(replace({own}, 'C', '')))"
+
+
+def _has_vowel(pattern: str, suffix: int) -> str:
+    return f"contains({_before(pattern, suffix)}, 'v')"
 
 
-def _has_vowel(pattern: Column, suffix: int) -> Column:
-    return F.contains(_before(pattern, suffix), F.lit("v"))
+def _ends(word: str, *suffixes: str) -> str:
+    return "(" + " OR ".join(f"endswith({word}, '{s}')" for s in suffixes) + ")"
 
 
-def _first_rule(word: Column, pattern: Column, rules: tuple, least: int, otherwise: Column) -> Column:
+def _first_rule(word: str, pattern: str, rules: tuple, least: int) -> str:
     """The first rule that fits, measure included; a rule that fails its measure is passed over."""
-    for suffix, put in reversed(rules):
-        fits = F.endswith(word, F.lit(suffix)) & (_measure(pattern, len(suffix)) >= least)
-        otherwise = F.when(fits, F.concat(_before(word, len(suffix)), F.lit(put))).otherwise(otherwise)
-    return otherwise
+    whens = (f"WHEN {_ends(word, s)} AND {_measure(pattern, len(s))} >= {least} THEN concat({_before(word, len(s))}, '{put}')" for s, put in rules)
+    return f"CASE {' '.join(whens)} ELSE {word} END"
 
 
-def _plural(word: Column, _: Column) -> Column:
-    ends = lambda s: F.endswith(word, F.lit(s))
-    return F.when(ends("sses") | ends("ies"), _before(word, 2)).when(ends("s") & ~ends("ss"), _before(word, 1)).otherwise(word)
+def _plural(w: str, _: str) -> str:
+    return f"CASE WHEN {_ends(w, 'sses', 'ies')} THEN {_before(w, 2)} WHEN {_ends(w, 's')} AND NOT {_ends(w, 'ss')} THEN {_before(w, 1)} ELSE {w} END"
 
 
-def _past(word: Column, pattern: Column) -> Column:
+def _past(w: str, p: str) -> str:
     """Ends in a mark (a space, which no word has) where the verb ending went and the rest has to be mended."""
-    ends = lambda s: F.endswith(word, F.lit(s))
-    cut = lambda n: F.when(_has_vowel(pattern, n), F.concat(_before(word, n), F.lit(" "))).otherwise(word)
-    eed = F.when(_measure(pattern, 3) > 0, _before(word, 1)).otherwise(word)
-    return F.when(ends("eed"), eed).when(ends("ed"), cut(2)).when(ends("ing"), cut(3)).otherwise(word)
+    cut = lambda n: f"CASE WHEN {_has_vowel(p, n)} THEN concat({_before(w, n)}, ' ') ELSE {w} END"
+    eed = f"CASE WHEN {_measure(p, 3)} > 0 THEN {_before(w, 1)} ELSE {w} END"
+    return f"CASE WHEN {_ends(w, 'eed')} THEN {eed} WHEN {_ends(w, 'ed')} THEN {cut(2)} WHEN {_ends(w, 'ing')} THEN {cut(3)} ELSE {w} END"
 
 
-def _mend(word: Column, _: Column) -> Column:
-    rest = F.rtrim(word)
-    e = F.when(F.rlike(rest, F.lit("(at|bl|iz)$")), F.concat(rest, F.lit("e")))
-    return F.when(rest == word, word).otherwise(e.when(F.rlike(rest, F.lit(r"([^aeioulsz])\1$")), _before(rest, 1)).otherwise(rest))
+def _mend(w: str, _: str) -> str:
+    rest = f"rtrim({w})"
+    doubled = r"r'([^aeioulsz])\1$'"
+    return f"CASE WHEN NOT endswith({w}, ' ') THEN {w} WHEN {rest} RLIKE '(at|bl|iz)$' THEN concat({rest}, 'e') WHEN {rest} RLIKE {doubled} THEN {_before(rest, 1)} ELSE {rest} END"
 
 
-def _final_y(word: Column, pattern: Column) -> Column:
-    return F.when(F.endswith(word, F.lit("y")) & _has_vowel(pattern, 1), F.concat(_before(word, 1), F.lit("i"))).otherwise(word)
+def _final_y(w: str, p: str) -> str:
+    return f"CASE WHEN {_ends(w, 'y')} AND {_has_vowel(p, 1)} THEN concat({_before(w, 1)}, 'i') ELSE {w} END"
 
 
-def _finals(word: Column, pattern: Column) -> Column:
-    ion = F.rlike(word, F.lit("[st]ion$")) & (_measure(pattern, 3) > 1)
-    return F.when(ion, _before(word, 3)).otherwise(_first_rule(word, pattern, RULES[2][1], RULES[2][2], word))
+def _finals(w: str, p: str) -> str:
+    return f"CASE WHEN {w} RLIKE '[st]ion$' AND {_measure(p, 3)} > 1 THEN {_before(w, 3)} ELSE {_first_rule(w, p, *RULES[2][1:])} END"
 
 
-def _final_e(word: Column, pattern: Column) -> Column:
+def _final_e(w: str, p: str) -> str:
     # What ends consonant, vowel, consonant has two runs of consonants, so one run is always enough.
-    return F.when(F.endswith(word, F.lit("e")) & (_measure(pattern, 1) >= 1), _before(word, 1)).otherwise(word)
+    return f"CASE WHEN {_ends(w, 'e')} AND {_measure(p, 1)} >= 1 THEN {_before(w, 1)} ELSE {w} END"
 
 
-def _final_l(word: Column, pattern: Column) -> Column:
-    return F.when(F.endswith(word, F.lit("ll")) & (_measure(pattern, 0) > 1), _before(word, 1)).otherwise(word)
+def _final_l(w: str, p: str) -> str:
+    return f"CASE WHEN {_ends(w, 'll')} AND {_measure(p, 0)} > 1 THEN {_before(w, 1)} ELSE {w} END"
 
 
 def _table(number: int):  # noqa: ANN202
-    return lambda word, pattern: _first_rule(word, pattern, RULES[number][1], RULES[number][2], word)
+    return lambda w, p: _first_rule(w, p, *RULES[number][1:])
 
 
+#: Each step, and whether it looks at the pattern.
 STEPS = ((_plural, False), (_past, True), (_mend, False), (_final_y, True), (_table(0), True), (_table(1), True), (_finals, True), (_final_e, True), (_final_l, True))
 
 
 def with_stem(df: DataFrame, word: str, stem: str = "stem") -> DataFrame:
     """df with the stem of a column of single words: a projection for each step, all within one stage of generated code.
 
-    Words of one or two characters are only lower-cased.
+    Words of one or two characters are only lower-cased. The stem comes out of a generator of one element, through
+    which no later filter is pushed: pushed down, it would hold every step's expression many times over.
     """
-    short, at, pattern = "stem_short", "stem_at", "stem_pattern"
-    df = df.withColumn(at, F.lower(word)).withColumn(short, F.char_length(at) <= 2)
+    at, pattern, short = "stem_at", "stem_pattern", "stem_short"
+    others = [f"`{c}`" for c in df.columns if c != stem]
+    df = df.withColumn(at, F.lower(word)).selectExpr(*others, at, f"char_length({at}) <= 2 AS {short}")
     for step, needs_pattern in STEPS:
         if needs_pattern:
-            df = df.withColumn(pattern, pattern_of(F.col(at)))
-        df = df.withColumn(at, F.when(F.col(short), F.col(at)).otherwise(step(F.col(at), F.col(pattern) if needs_pattern else F.col(at))))
-    return df.withColumn(stem, F.col(at)).drop(short, at, *([pattern] if pattern in df.columns else []))
+            df = df.selectExpr(*others, at, short, f"{_pattern(at)} AS {pattern}")
+        df = df.selectExpr(*others, f"CASE WHEN {short} THEN {at} ELSE {step(at, pattern)} END AS {at}", short)
+    return df.selectExpr(*others, f"explode(array({at})) AS {stem}")
 
 
-def _let(value: Column, body) -> Column:  # noqa: ANN001
-    """body(value), with value computed once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+@cache
+def _stem_sql(word: str) -> str:
+    """The stem as one expression; what a step needs more than once is bound by a lambda over an array of one."""
+    let = lambda value, name, body: f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
+    def run(number: int, at: str) -> str:
+        if number == len(STEPS):
+            return at
+        step, needs_pattern = STEPS[number]
+        done = let(_pattern(at), f"p{number}", step(at, f"p{number}")) if needs_pattern else step(at, "")
+        return let(done, f"w{number}", run(number + 1, f"w{number}"))
 
-def stem(word: Column) -> Column:
-    """The stem as one expression, for words inside arrays. Interpreted, so for short inputs such as queries; see with_stem()."""
+    return let(f"lower({word})", "w", f"CASE WHEN char_length(w) <= 2 THEN w ELSE {run(0, 'w')} END")
+
+
+def stems(words: str) -> Column:
+    """The stems of an array column of words. Interpreted, so for short inputs such as queries; see with_stem()."""
+    return F.expr(f"transform({words}, x -> {_stem_sql('x')})")
 
-    def run(steps: tuple, at: Column) -> Column:
-        if not steps:
-            return at
-        (step, needs_pattern), rest = steps[0], steps[1:]
-        done = _let(pattern_of(at), lambda p: step(at, p)) if needs_pattern else step(at, at)
-        return _let(done, lambda x: run(rest, x))
 
-    return _let(F.lower(word), lambda w: F.when(F.char_length(w) <= 2, w).otherwise(run(STEPS, w)))
+def stem(word: str) -> Column:
+    """The stem of a column of single words, as one expression."""
+    return F.expr(_stem_sql(word))
 
 
-def stem_lexeme(lexeme: Column) -> Column:
-    """The stem of a lexeme; of a phrase term, the stems of its parts."""
-    parts = F.filter(F.split(lexeme, JOINER), lambda x: x != "")
-    return F.when(F.contains(lexeme, F.lit(JOINER)), F.array_join(F.transform(parts, stem), JOINER)).otherwise(stem(lexeme))
+def lexeme_stems(lexemes: str) -> Column:
+    """The stems of an array column of lexemes; of a phrase term, the stems of its parts, joined."""
+    parts = f"filter(split(l, '{JOINER}'), x -> x <> '')"
+    joined = f"array_join(transform({parts}, x -> {_stem_sql('x')}), '{JOINER}')"
+    return F.expr(f"filter(transform({lexemes}, l -> CASE WHEN contains(l, '{JOINER}') THEN {joined} ELSE {_stem_sql('l')} END), x -> x <> '')")
 
 
 @lru_cache(maxsize=1 << 16)

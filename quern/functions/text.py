@@ -35,10 +35,10 @@ def query_words(text: Column) -> Column:
     return F.transform(F.filter(fragments(text), lambda x: x != ""), F.lower)
 
 
-def raw_lexemes(text: Column) -> Column:
-    """Runs of letters and joiners that are worth retrieving, not yet stemmed."""
-    runs = F.split(F.coalesce(text, F.lit("")), NOT_LETTER_OR_JOINER)
-    return F.filter(runs, lambda x: (x != "") & (F.contains(x, F.lit(JOINER)) | long_enough(x)))
+def raw_lexemes(text: str) -> str:
+    """SQL for runs of letters and joiners that are worth retrieving, not yet stemmed, of a text given as SQL."""
+    runs = f"split(coalesce({text}, ''), r'{NOT_LETTER_OR_JOINER}')"
+    return f"filter({runs}, x -> x <> '' AND (contains(x, '{JOINER}') OR octet_length(x) >= {LEAST_BYTES}))"
 
 
 def ngrams(stems: Column, n: int) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions import text as X
-from quern.functions.stem import stem_lexeme, with_stem
+from quern.functions.stem import lexeme_stems, with_stem
 
 #: How much a run of one, two or three words adds to a term's frequency, by field.
 WEIGHTS = {"title": (1, 3, 5), "body": (1, 1, 2)}
@@ -83,11 +83,10 @@ def term_df(posted: DataFrame) -> DataFrame:
 
 def lexeme_counts(docs: DataFrame) -> DataFrame:
     """doc_id, term, n: stemmed lexemes of title and body together. Words with a joiner between them are one lexeme."""
-    whole = F.concat_ws(" ", "title", "body")
-    raw = docs.repartition("doc_id").select("doc_id", F.explode(X.raw_lexemes(whole)).alias("lexeme"))
+    raw = docs.repartition("doc_id").select("doc_id", F.expr(f"explode({X.raw_lexemes("concat_ws(' ', title, body)")}) AS lexeme"))
     plain = with_stem(raw, "lexeme", "term")
     # The stem of a lexeme with joiners goes part by part; the expression is evaluated for such lexemes alone.
-    joined = F.when(F.contains(F.col("lexeme"), F.lit(X.JOINER)), stem_lexeme(F.col("lexeme"))).otherwise(F.col("term"))
+    joined = F.when(F.contains(F.col("lexeme"), F.lit(X.JOINER)), F.get(lexeme_stems("array(lexeme)"), 0)).otherwise(F.col("term"))
     return plain.select("doc_id", joined.alias("term")).filter("term <> ''").groupBy("doc_id", "term").agg(F.count("*").alias("n"))
 
 

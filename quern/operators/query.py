@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions import text as X
-from quern.functions.stem import stem, stem_lexeme
+from quern.functions.stem import lexeme_stems, stems
 from quern.operators import typo
 
 NO_STRINGS = "array<string>"
@@ -46,7 +46,7 @@ def detect_phrases(queries: DataFrame, phrases: Sequence[str]) -> DataFrame:
     """qid, raw, words, stems, phrases, used: known phrases of three words first, then of two; used are their words' places."""
     known = F.array(*map(F.lit, phrases)) if phrases else _empty()
     cut = queries.select("qid", "raw", X.query_words(F.col("raw")).alias("words"))
-    cut = cut.withColumn("stems", F.transform("words", stem)).withColumn("known", known)
+    cut = cut.withColumn("stems", stems("words")).withColumn("known", known)
     cut = cut.withColumn("threes", _windows(F.col("stems"), 3, F.col("known"), _empty("array<int>")))
     cut = cut.withColumn("covered", _cover(F.col("threes"), 3)).withColumn("twos", _windows(F.col("stems"), 2, F.col("known"), F.col("covered")))
     term = lambda size: lambda b: F.array_join(F.slice("stems", b + 1, size), X.JOINER)
@@ -116,10 +116,9 @@ def process_queries(queries: DataFrame, vocabulary: DataFrame, phrases: Sequence
     )
 
 
-def query_lexemes(raw: Column, restem: bool = True) -> Column:
-    """Stemmed lexemes of a query string, as the ranker sees it."""
-    cut = X.raw_lexemes(raw)
-    return F.filter(F.transform(cut, stem_lexeme), lambda x: x != "") if restem else cut
+def query_lexemes(raw: str, restem: bool = True) -> Column:
+    """Stemmed lexemes of a query string (given as SQL), as the ranker sees it."""
+    return lexeme_stems(X.raw_lexemes(raw)) if restem else F.expr(X.raw_lexemes(raw))
 
 
 def fuzzy_terms(tokens: DataFrame, vocabulary: DataFrame, trigrams: DataFrame, restem: bool = True) -> DataFrame:
@@ -128,7 +127,7 @@ def fuzzy_terms(tokens: DataFrame, vocabulary: DataFrame, trigrams: DataFrame, r
     Tokens are stemmed once more before they are looked up; restem=False leaves out this stemming and the
     ranker's, which can turn a token that is in the vocabulary into one that isn't.
     """
-    each = tokens.select("qid", F.posexplode(query_lexemes(F.array_join("tokens", " "), restem)).alias("pos", "token"))
+    each = tokens.select("qid", F.posexplode(query_lexemes("array_join(tokens, ' ')", restem)).alias("pos", "token"))
     known = vocabulary.select(F.col("term").alias("known"))
     marked = each.join(known, F.col("token") == F.col("known"), "left")
     best = typo.trigram_best(marked.filter("known IS NULL").select("token").distinct(), trigrams).select("token", F.col("term").alias("better"))
@@ -139,4 +138,4 @@ def fuzzy_terms(tokens: DataFrame, vocabulary: DataFrame, trigrams: DataFrame, r
 
 def final_terms(tokens: DataFrame, restem: bool = True) -> DataFrame:
     """qid, pos, term for the ranker, repeats kept."""
-    return tokens.select("qid", F.posexplode(query_lexemes(F.array_join("tokens", " "), restem)).alias("pos", "term"))
+    return tokens.select("qid", F.posexplode(query_lexemes("array_join(tokens, ' ')", restem)).alias("pos", "term"))

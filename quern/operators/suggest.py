@@ -27,5 +27,5 @@ def suggest(inputs: DataFrame, completions: DataFrame, limit: int = 6) -> DataFr
     Phrase terms are left out after the limit, so fewer may come back. Empty inputs give nothing.
     """
     plain = F.lower(X.collapse(F.col("raw")))
-    asked = inputs.select("qid", plain.alias("plain")).select("qid", F.when(F.contains("plain", F.lit(" ")), F.col("plain")).otherwise(stem(F.col("plain"))).alias("prefix"))
+    asked = inputs.select("qid", plain.alias("plain")).select("qid", F.when(F.contains("plain", F.lit(" ")), F.col("plain")).otherwise(stem("plain")).alias("prefix"))
     return complete(asked, completions, limit).filter(~F.contains("term", F.lit(X.JOINER)))

@@ -29,7 +29,7 @@ def column(frame, expression):
 
 def test_lexemes_of_queries(spark):
     frame = spark.createDataFrame([("machine~learning search",), ("inverted  index!",), ("é a ~ b",), ("",), (None,)], "t string")
-    assert column(frame, query.query_lexemes(F.col("t"))) == [["machin~learn", "search"], ["invert", "index"], ["é"], [], []]
+    assert column(frame, query.query_lexemes("t")) == [["machin~learn", "search"], ["invert", "index"], ["é"], [], []]
 
 
 def test_text_expressions(spark):
@@ -46,7 +46,7 @@ def test_postings_lengths_and_positions(spark):
     docs = spark.createDataFrame([(1, "Big data base", "The data… is é a data. 7x", 0), (2, "", None, 0), (3, "x", "", 0)], store.DOCUMENTS)
     index = I.build_index(docs, persist=False)
     got = {(r.term, r.doc_id): (r.title_tf, r.body_tf, r.positions) for r in index.postings.collect()}
-    assert got["data", 1] == (1, 2, [4, 18, 30])
+    assert got["data", 1] == (1, 2, [4, 18, 32])
     assert got["big~data", 1] == (3, 0, []) and got["big~data~bas", 1] == (5, 0, [])
     assert got["th~data", 1] == (0, 1, []) and got["th~data~is", 1] == (0, 2, [])
     assert ("é", 1) in got and ("a", 1) not in got
