@@ -24,7 +24,7 @@ ADJECTIVAL = (("icate", "ic"), ("ative", ""), ("alize", "al"), ("iciti", "ic"),
 FINAL = ("al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ou", "ism", "ate", "iti", "ous", "ive", "ize")
 RULES = (("derived", DERIVED, 1), ("adjectival", ADJECTIVAL, 1), ("final", tuple((s, "") for s in FINAL), 2))
 
-#: Where a run of consonants begins the pattern has C, elsewhere in it c; vowels are v.
+#: Where a run of consonants begins the pattern has C, elsewhere in it c; vowels are 0, which no word has.
 CONSONANT_Y, VOWELS = r"^y|(?<=[aeiou])y", "aeiouy"
 
 
@@ -33,7 +33,7 @@ CONSONANT_Y, VOWELS = r"^y|(?<=[aeiou])y", "aeiouy"
 
 
 def _pattern(word: str) -> str:
-    kinds = f"regexp_replace(translate(regexp_replace({word}, '{CONSONANT_Y}', 'Y'), '{VOWELS}', '{'v' * len(VOWELS)}'), '[^v]', 'c')"
+    kinds = f"regexp_replace(translate(regexp_replace({word}, '{CONSONANT_Y}', 'Y'), '{VOWELS}', '{'0' * len(VOWELS)}'), '[^0]', 'c')"
     return f"regexp_replace({kinds}, '(?<!c)c', 'C')"
 
 
@@ -47,7 +47,7 @@ def _measure(pattern: str, suffix: int) -> str:
 
 
 def _has_vowel(pattern: str, suffix: int) -> str:
-    return f"contains({_before(pattern, suffix)}, 'v')"
+    return f"contains({_before(pattern, suffix)}, '0')"
 
 
 def _ends(word: str, *suffixes: str) -> str:
@@ -159,7 +159,7 @@ def stem_word(word: str) -> str:
 
     def kinds(x: str) -> str:
         y = re.sub(CONSONANT_Y, "Y", x)
-        return re.sub("(?<!c)c", "C", re.sub("[^v]", "c", re.sub(f"[{VOWELS}]", "v", y), flags=re.DOTALL))
+        return re.sub("(?<!c)c", "C", re.sub("[^0]", "c", re.sub(f"[{VOWELS}]", "0", y)))
 
     def measure(x: str, suffix: int) -> int:
         return kinds(x)[: len(x) - suffix].count("C")
@@ -174,10 +174,10 @@ def stem_word(word: str) -> str:
         for end in ("ed", "ing"):
             if w.endswith(end):
                 rest = w[: -len(end)]
-                if "v" in kinds(w)[: len(rest)]:
+                if "0" in kinds(w)[: len(rest)]:
                     w = rest + "e" if re.search("(at|bl|iz)$", rest) else re.sub(r"([^aeioulsz])\1$", r"\1", rest)
                 break
-    if w.endswith("y") and "v" in kinds(w)[:-1]:
+    if w.endswith("y") and "0" in kinds(w)[:-1]:
         w = w[:-1] + "i"
     for name, rules, least in RULES:
         if name == "final" and re.search("[st]ion$", w) and measure(w, 3) > 1:

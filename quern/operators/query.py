@@ -42,16 +42,23 @@ def _cover(begins: Column, size: int) -> Column:
     return F.flatten(F.transform(begins, lambda b: F.sequence(b, b + size - 1)))
 
 
+def _settled(df: DataFrame, *columns: str | Column) -> DataFrame:
+    """df.select(columns) behind a generator of one element: later filters and projections use the columns' values, not their expressions."""
+    return df.select(*columns).select(F.explode(F.array(F.struct("*"))).alias("r")).select("r.*")
+
+
 def detect_phrases(queries: DataFrame, phrases: Sequence[str]) -> DataFrame:
     """qid, raw, words, stems, phrases, used: known phrases of three words first, then of two; used are their words' places."""
     known = F.array(*map(F.lit, phrases)) if phrases else _empty()
-    cut = queries.select("qid", "raw", X.query_words(F.col("raw")).alias("words"))
-    cut = cut.withColumn("stems", stems("words")).withColumn("known", known)
-    cut = cut.withColumn("threes", _windows(F.col("stems"), 3, F.col("known"), _empty("array<int>")))
-    cut = cut.withColumn("covered", _cover(F.col("threes"), 3)).withColumn("twos", _windows(F.col("stems"), 2, F.col("known"), F.col("covered")))
+    row = ["qid", "raw", "words", "stems"]
+    cut = _settled(queries, "qid", "raw", X.query_words(F.col("raw")).alias("words"))
+    cut = _settled(cut, "qid", "raw", "words", stems("words").alias("stems"))
+    cut = _settled(cut, *row, _windows(F.col("stems"), 3, known, _empty("array<int>")).alias("threes"))
+    cut = _settled(cut, *row, "threes", _cover(F.col("threes"), 3).alias("covered"))
+    cut = _settled(cut, *row, "threes", "covered", _windows(F.col("stems"), 2, known, F.col("covered")).alias("twos"))
     term = lambda size: lambda b: F.array_join(F.slice("stems", b + 1, size), X.JOINER)
     found = F.concat(F.transform("threes", term(3)), F.transform("twos", term(2)))
-    return cut.select("qid", "raw", "words", "stems", found.alias("phrases"), F.concat("covered", _cover(F.col("twos"), 2)).alias("used"))
+    return _settled(cut, *row, found.alias("phrases"), F.concat("covered", _cover(F.col("twos"), 2)).alias("used"))
 
 
 def single_words(detected: DataFrame) -> DataFrame:

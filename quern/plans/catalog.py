@@ -1,15 +1,295 @@
-"""The engine's queries for the driver, and the SQL that must give the same rows."""
+"""The engine's queries for the driver, over its tables."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quern.functions import text as X
+from quern.functions.stem import lexeme_stems, with_stem
+from quern.operators import index as I
+from quern.operators import lexicon, query, rank, typo
+from quern.operators import suggest as suggesting
+from quern.operators.snippet import snippet_column
+from quern.plans import engine
+from quern.plans.oracle import ORACLE
+from quern.sources import samples, store
+
+NOW = 1_704_067_200
+WORDS_OF_QUERY, PREFIX = 5, 3
+
+_held: dict[tuple[str, str], I.Index] = {}
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.titled(_table(spark, sf_dir, "documents"), NOW)
+
+
+def index_of(spark: SparkSession, sf_dir: str) -> I.Index:
+    """Built once for a session and folder, and kept, as a running engine keeps its index."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _held:
+        _held[key] = I.build_index(documents(spark, sf_dir))
+    return _held[key]
+
+
+def workload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """qid, raw: the first words of each benchmark text."""
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda x: x != "")
+    return _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.array_join(F.slice(words, 1, WORDS_OF_QUERY), " ").alias("raw"))
+
+
+def query_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return workload(spark, sf_dir).select("qid", F.posexplode(query.query_lexemes("raw")).alias("pos", "term"))
+
+
+def prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """qid, raw: what one types: the first letters of a word, or the first two words, of each benchmark text."""
+    words = F.split(F.trim("text"), r"\s+")
+    return _table(spark, sf_dir, "benchmark").select(
+        F.col("item_id").alias("qid"), F.when(F.col("item_id") % 2 == 0, F.left(F.get(words, 0), F.lit(PREFIX))).otherwise(F.array_join(F.slice(words, 1, 2), "  ")).alias("raw")
+    )
+
+
+def misspelt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """word, stem: plain words of the workload with their third letter dropped."""
+    words = workload(spark, sf_dir).select(F.explode(X.words(F.col("raw"))).alias("w")).filter(F.rlike("w", F.lit("^[a-z]{5,}$"))).distinct()
+    return with_stem(words.select(F.concat(F.left("w", F.lit(2)), F.substr("w", F.lit(4))).alias("word")).distinct(), "word")
+
+
+def plain_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index_of(spark, sf_dir).vocabulary.filter(F.rlike("term", F.lit("^[a-z~]+$")))
+
+
+def dictionaries(spark: SparkSession) -> tuple[list[str], DataFrame]:
+    pairs = lexicon.synonym_pairs(lexicon.default_synonyms())
+    return lexicon.phrase_terms(lexicon.default_phrases()), spark.createDataFrame(pairs, "stem string, synonym string")
+
+
+#: Queries over the sample corpus, whose phrases and synonyms are English.
+ASKED = (
+    "machine learning", "machine learning models", "natural language processing data base", "big O notation", "fast fast search", "lokups", "garbage colection",
+    "neural networks in search engines", "", "!? 42", "time series storage", "inverted index lookup",
+)
+
+
+def asked(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(list(enumerate(ASKED)), "qid long, raw string")
+
+
+def sample_index(spark: SparkSession) -> I.Index:
+    key = spark.sparkContext.applicationId, "samples"
+    if key not in _held:
+        _held[key] = I.build_index(samples.sample_corpus(spark, NOW))
+    return _held[key]
+
+
+def q_tokenise(spark, sf_dir):
+    words = documents(spark, sf_dir).select("doc_id", F.posexplode(F.filter(X.fragments(F.col("body")), X.long_enough)).alias("pos", "word"))
+    return with_stem(words, "word", "token").select("doc_id", "pos", "token")
+
+
+def q_lexemes(spark, sf_dir):
+    return I.lexeme_counts(documents(spark, sf_dir))
+
+
+def q_word_stems(spark, sf_dir):
+    words = documents(spark, sf_dir).select(F.explode(X.words(F.col("title"))).alias("word"))
+    return with_stem(words, "word").groupBy("word", "stem").agg(F.count("*").alias("n"))
+
+
+def q_stem(spark, sf_dir):
+    words = documents(spark, sf_dir).select(F.explode(X.words(F.concat_ws(" ", "title", "body"))).alias("word")).distinct()
+    return with_stem(words, "word")
+
+
+def _runs(n):
+    def run(spark, sf_dir):
+        stems = lexeme_stems(X.raw_lexemes("title"))
+        return documents(spark, sf_dir).select("doc_id", stems.alias("stems")).select("doc_id", F.explode(X.ngrams(F.col("stems"), n)).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("n"))
+
+    return run
+
+
+def q_char_trigrams(spark, sf_dir):
+    words = documents(spark, sf_dir).select(F.explode(X.words(F.col("title"))).alias("word")).distinct()
+    return words.select("word", F.explode(X.char_trigrams(F.col("word"))).alias("trigram")).groupBy("word", "trigram").agg(F.count("*").alias("n"))
+
+
+def q_html_escape(spark, sf_dir):
+    return _table(spark, sf_dir, "pages").select("page_id", X.html_escape(F.col("html")).alias("escaped"))
+
+
+def q_lead_sentences(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", X.lead_sentences(F.col("body")).alias("lead"))
+
+
+def q_postings(spark, sf_dir):
+    return index_of(spark, sf_dir).postings.select("term", "doc_id", "title_tf", "body_tf")
+
+
+def q_positions(spark, sf_dir):
+    listed = index_of(spark, sf_dir).postings.filter(~F.contains("term", F.lit("~")))
+    return listed.select("term", "doc_id", F.array_join(F.col("positions").cast("array<string>"), ",").alias("positions"))
+
+
+def q_doc_lengths(spark, sf_dir):
+    return index_of(spark, sf_dir).stats.select("doc_id", "title_len", "body_len")
+
+
+def q_corpus_stats(spark, sf_dir):
+    return index_of(spark, sf_dir).corpus.select("total_docs", F.round("avg_title_length", 6).alias("avg_title_length"), F.round("avg_body_length", 6).alias("avg_body_length"))
+
+
+def q_term_df(spark, sf_dir):
+    return index_of(spark, sf_dir).df.select("term", "df")
+
+
+def q_vocabulary(spark, sf_dir):
+    return index_of(spark, sf_dir).vocabulary
+
+
+def q_title_vocabulary(spark, sf_dir):
+    return index_of(spark, sf_dir).df.filter("title_df > 0").select("term")
+
+
+def q_idf(spark, sf_dir):
+    held = index_of(spark, sf_dir)
+    return held.df.join(F.broadcast(held.corpus)).select("term", F.round(rank.smooth_idf(F.col("total_docs"), F.col("df")), 6).alias("idf"))
+
+
+def q_recency(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", F.round(rank.recency(F.col("created_at"), F.lit(NOW)), 6).alias("recency"))
+
+
+def q_bm25(spark, sf_dir):
+    held = index_of(spark, sf_dir)
+    hits = rank.bm25(query_terms(spark, sf_dir), held.postings, held.df, held.stats, held.corpus, NOW, 10)
+    return hits.select("qid", "doc_id", "rank", F.round("score", 6).alias("score"))
+
+
+def q_tfidf(spark, sf_dir):
+    return index_of(spark, sf_dir).vectors.select("doc_id", "term", F.round("weight", 6).alias("weight"), F.round("norm", 6).alias("norm"))
+
+
+def _similar(spark, sf_dir):
+    held = index_of(spark, sf_dir)
+    return rank.cosine(rank.query_vectors(query_terms(spark, sf_dir), held.df, held.corpus), held.vectors)
+
+
+def q_cosine(spark, sf_dir):
+    return _similar(spark, sf_dir).select("qid", "doc_id", F.round("score", 6).alias("score"))
+
+
+def q_semantic(spark, sf_dir):
+    return rank.top(_similar(spark, sf_dir), None).select("qid", "doc_id", "rank", F.round("score", 6).alias("score"))
+
+
+def q_rrf(spark, sf_dir):
+    held = index_of(spark, sf_dir)
+    hits = rank.bm25(query_terms(spark, sf_dir), held.postings, held.df, held.stats, held.corpus, NOW, 20)
+    fused = rank.rrf(hits, rank.top(_similar(spark, sf_dir), None), 0.6, 0.4, 10)
+    return fused.select("qid", "doc_id", "rank", F.round("score", 6).alias("score"))
+
+
+def q_completions(spark, sf_dir):
+    return index_of(spark, sf_dir).completions.select("term", "weight")
+
+
+def q_suggest(spark, sf_dir):
+    return suggesting.suggest(prefixes(spark, sf_dir), index_of(spark, sf_dir).completions, engine.SUGGESTIONS)
+
+
+def q_stats(spark, sf_dir):
+    return engine.statistics(index_of(spark, sf_dir))
+
+
+def q_p50(spark, sf_dir):
+    events = _table(spark, sf_dir, "events").select("event_id", F.floor("value").cast("long").alias("us"))
+    return engine.latest_median(events, "event_id", "us")
+
+
+def q_vocab_trigrams(spark, sf_dir):
+    held = index_of(spark, sf_dir).df.filter("title_df > 0 AND NOT contains(term, '~')")
+    return I.vocab_trigrams(held).groupBy("trigram").agg(F.count("*").alias("entries"), F.countDistinct("term").alias("terms"))
+
+
+def _title_terms(spark, sf_dir):
+    return I.vocab_trigrams(index_of(spark, sf_dir).df.filter("title_df > 0"))
+
+
+def q_trigram_best(spark, sf_dir):
+    best = typo.trigram_best(misspelt(spark, sf_dir).select(F.col("stem").alias("token")).distinct(), _title_terms(spark, sf_dir))
+    return best.select("token", "term", F.round("jaccard", 6).alias("jaccard"))
+
+
+def q_trigram_suggest(spark, sf_dir):
+    found = typo.trigram_suggest(misspelt(spark, sf_dir).select(F.col("stem").alias("token")).distinct(), _title_terms(spark, sf_dir))
+    return found.select("token", "rank", "term", F.round("jaccard", 6).alias("jaccard"))
+
+
+def q_spell_correct(spark, sf_dir):
+    found = typo.spell_correct(misspelt(spark, sf_dir), plain_vocabulary(spark, sf_dir))
+    return found.select("word", "stem", "term", F.round("sim", 6).alias("sim"))
+
+
+def q_synonyms(spark, sf_dir):
+    return dictionaries(spark)[1]
+
+
+def q_phrase_table(spark, sf_dir):
+    return spark.createDataFrame([(p,) for p in dictionaries(spark)[0]], "compound string")
+
+
+def q_synonym_expand(spark, sf_dir):
+    pairs = dictionaries(spark)[1]
+    heads = pairs.select(F.col("stem").alias("term")).distinct()
+    wide = query.expand_terms(heads, pairs, sample_index(spark).vocabulary)
+    return wide.filter(F.size("synonyms") > 0).select("term", F.array_join("synonyms", ",").alias("synonyms"))
+
+
+def q_phrases(spark, sf_dir):
+    found = query.detect_phrases(asked(spark), dictionaries(spark)[0])
+    return found.select("qid", F.array_join("phrases", ",").alias("phrases"))
+
+
+def q_process_query(spark, sf_dir):
+    done = query.process_queries(asked(spark), sample_index(spark).vocabulary, *dictionaries(spark))
+    pair = F.transform("corrections", lambda c: F.concat_ws(">", c["word"], c["term"]))
+    wide = F.transform("expansions", lambda e: F.concat(e["term"], F.lit(":"), F.array_join(e["synonyms"], "+")))
+    listed = lambda c, name: F.array_join(c, ",").alias(name)
+    return done.select("qid", "original", listed("tokens", "tokens"), listed(pair, "corrections"), listed(wide, "expansions"), listed("phrases", "phrases"))
+
+
+def q_snippet(spark, sf_dir):
+    held = index_of(spark, sf_dir)
+    hits = rank.bm25(query_terms(spark, sf_dir), held.postings, held.df, held.stats, held.corpus, NOW, 3)
+    found = held.documents.select("doc_id", "body").join(hits, "doc_id")
+    return found.select("qid", "doc_id", snippet_column(F.col("body"), F.col("matched_terms")).alias("snippet"))
+
+
+def q_search(spark, sf_dir):
+    held = index_of(spark, sf_dir)
+    _, ranked = engine.rank_queries(held, workload(spark, sf_dir), *dictionaries(spark), now=NOW)
+    return engine.search_results(held, ranked)
+
+
+def q_search_samples(spark, sf_dir):
+    held = sample_index(spark)
+    _, ranked = engine.rank_queries(held, asked(spark), *dictionaries(spark), now=NOW)
+    return engine.search_results(held, ranked)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    own = {name[2:]: f for name, f in globals().items() if name.startswith("q_")}
+    return own | {"bigrams": _runs(2), "trigrams": _runs(3)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLE)
