@@ -217,7 +217,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     twice as far each time; sums and minima are combined before each shuffle. A round's table is written, and the
     rounds end when no label changed.
     """
-    both = written(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "links")
+    ends = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
+    both = written(edges.select(ends.alias("e")).select("e.a", "e.b").distinct(), "links")
     labels = written(both.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("node"), F.least("a", "least").alias("label")), "labels")
     for _ in range(most_rounds):
         offered = both.join(labels, both.b == labels.node).select(F.col("a").alias("node"), "label")
