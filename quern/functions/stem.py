@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 from functools import cache, lru_cache
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -133,18 +134,13 @@ def _stem_sql(word: str) -> str:
     return let(f"lower({word})", "w", f"CASE WHEN char_length(w) <= 2 THEN w ELSE {run(0, 'w')} END")
 
 
-def stems(words: str) -> Column:
-    """The stems of an array column of words. Interpreted, so for short inputs such as queries; see with_stem()."""
-    return F.expr(f"transform({words}, x -> {_stem_sql('x')})")
-
-
 def stem(word: str) -> Column:
-    """The stem of a column of single words, as one expression."""
+    """The stem of a column of single words, as one expression. Interpreted; see with_stem() for many words."""
     return F.expr(_stem_sql(word))
 
 
 def lexeme_stems(lexemes: str) -> Column:
-    """The stems of an array column of lexemes; of a phrase term, the stems of its parts, joined."""
+    """The stems of an array column of lexemes (given as SQL); of a phrase term, the stems of its parts, joined."""
     parts = f"filter(split(l, '{JOINER}'), x -> x <> '')"
     joined = f"array_join(transform({parts}, x -> {_stem_sql('x')}), '{JOINER}')"
     return F.expr(f"filter(transform({lexemes}, l -> CASE WHEN contains(l, '{JOINER}') THEN {joined} ELSE {_stem_sql('l')} END), x -> x <> '')")
@@ -192,3 +188,23 @@ def stem_word(word: str) -> str:
     if w.endswith("ll") and measure(w, 0) > 1:
         w = w[:-1]
     return w
+
+
+def stem_lexeme(lexeme: str) -> str:
+    """Of a phrase term, the stems of its parts, joined."""
+    return JOINER.join(stem_word(p) for p in lexeme.split(JOINER) if p) if JOINER in lexeme else stem_word(lexeme)
+
+
+def query_stems(words: Column, drop_empty: bool = False) -> Column:
+    """Stems of the words or lexemes of queries, whose tables are small.
+
+    An Arrow batch of a few rows costs less here than planning the steps' expressions over and over: a search
+    stems three times, and each plan that follows would carry them.
+    """
+
+    @F.pandas_udf("array<string>")
+    def each(rows: pd.Series) -> pd.Series:
+        found = ([stem_lexeme(w) for w in row] if row is not None else [] for row in rows)
+        return pd.Series([[s for s in row if s or not drop_empty] for row in found])
+
+    return each(words)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions import text as X
-from quern.functions.stem import lexeme_stems, stems
+from quern.functions.stem import query_stems
 from quern.operators import typo
 
 NO_STRINGS = "array<string>"
@@ -52,7 +52,7 @@ def detect_phrases(queries: DataFrame, phrases: Sequence[str]) -> DataFrame:
     known = F.array(*map(F.lit, phrases)) if phrases else _empty()
     row = ["qid", "raw", "words", "stems"]
     cut = _settled(queries, "qid", "raw", X.query_words(F.col("raw")).alias("words"))
-    cut = _settled(cut, "qid", "raw", "words", stems("words").alias("stems"))
+    cut = _settled(cut, "qid", "raw", "words", query_stems(F.col("words")).alias("stems"))
     cut = _settled(cut, *row, _windows(F.col("stems"), 3, known, _empty("array<int>")).alias("threes"))
     cut = _settled(cut, *row, "threes", _cover(F.col("threes"), 3).alias("covered"))
     cut = _settled(cut, *row, "threes", "covered", _windows(F.col("stems"), 2, known, F.col("covered")).alias("twos"))
@@ -125,7 +125,14 @@ def process_queries(queries: DataFrame, vocabulary: DataFrame, phrases: Sequence
 
 def query_lexemes(raw: str, restem: bool = True) -> Column:
     """Stemmed lexemes of a query string (given as SQL), as the ranker sees it."""
-    return lexeme_stems(X.raw_lexemes(raw)) if restem else F.expr(X.raw_lexemes(raw))
+    cut = F.expr(X.raw_lexemes(raw))
+    return query_stems(cut, drop_empty=True) if restem else cut
+
+
+def _each_token(tokens: DataFrame, restem: bool, name: str) -> DataFrame:
+    """qid, pos and a token of the stemmed tokens, a row each."""
+    stemmed = tokens.select("qid", query_lexemes("array_join(tokens, ' ')", restem).alias("lexemes"))
+    return stemmed.select("qid", F.posexplode("lexemes").alias("pos", name))
 
 
 def fuzzy_terms(tokens: DataFrame, vocabulary: DataFrame, trigrams: DataFrame, restem: bool = True) -> DataFrame:
@@ -134,7 +141,7 @@ def fuzzy_terms(tokens: DataFrame, vocabulary: DataFrame, trigrams: DataFrame, r
     Tokens are stemmed once more before they are looked up; restem=False leaves out this stemming and the
     ranker's, which can turn a token that is in the vocabulary into one that isn't.
     """
-    each = tokens.select("qid", F.posexplode(query_lexemes("array_join(tokens, ' ')", restem)).alias("pos", "token"))
+    each = _each_token(tokens, restem, "token")
     known = vocabulary.select(F.col("term").alias("known"))
     marked = each.join(known, F.col("token") == F.col("known"), "left")
     best = typo.trigram_best(marked.filter("known IS NULL").select("token").distinct(), trigrams).select("token", F.col("term").alias("better"))
@@ -145,4 +152,4 @@ def fuzzy_terms(tokens: DataFrame, vocabulary: DataFrame, trigrams: DataFrame, r
 
 def final_terms(tokens: DataFrame, restem: bool = True) -> DataFrame:
     """qid, pos, term for the ranker, repeats kept."""
-    return tokens.select("qid", F.posexplode(query_lexemes("array_join(tokens, ' ')", restem)).alias("pos", "term"))
+    return _each_token(tokens, restem, "term")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions import text as X
-from quern.functions.stem import stem
+from quern.functions.stem import query_stems
 
 
 def complete(prefixes: DataFrame, completions: DataFrame, limit: int = 6) -> DataFrame:
@@ -27,5 +27,6 @@ def suggest(inputs: DataFrame, completions: DataFrame, limit: int = 6) -> DataFr
     Phrase terms are left out after the limit, so fewer may come back. Empty inputs give nothing.
     """
     plain = F.lower(X.collapse(F.col("raw")))
-    asked = inputs.select("qid", plain.alias("plain")).select("qid", F.when(F.contains("plain", F.lit(" ")), F.col("plain")).otherwise(stem("plain")).alias("prefix"))
+    one_word = F.get(query_stems(F.array("plain")), 0)
+    asked = inputs.select("qid", plain.alias("plain")).select("qid", F.when(F.contains("plain", F.lit(" ")), F.col("plain")).otherwise(one_word).alias("prefix"))
     return complete(asked, completions, limit).filter(~F.contains("term", F.lit(X.JOINER)))

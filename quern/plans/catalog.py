@@ -46,7 +46,7 @@ def workload(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def query_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return workload(spark, sf_dir).select("qid", F.posexplode(query.query_lexemes("raw")).alias("pos", "term"))
+    return workload(spark, sf_dir).select("qid", query.query_lexemes("raw").alias("terms")).select("qid", F.posexplode("terms").alias("pos", "term"))
 
 
 def prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
