@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from quern.functions.stem import ADJECTIVAL, DERIVED, FINAL
 from quern.operators import lexicon
+from quern.sources.samples import SAMPLES
 
 NOW = 1_704_067_200
 
@@ -160,6 +161,18 @@ def _runs(n: int) -> str:
     return f"WITH {TOKENS} SELECT doc_id, term, count(*) AS n FROM (SELECT doc_id, {joined} AS term FROM tokens WHERE field = 0 WINDOW o AS (PARTITION BY doc_id ORDER BY pos)) WHERE term IS NOT NULL GROUP BY 1, 2"
 
 
+_SAMPLE_DOCS = f"""
+docs AS MATERIALIZED ({_values([(n, title, body, NOW - days * 86400) for n, (title, body, days) in enumerate(SAMPLES)], "doc_id, title, body, created_at")})"""
+
+_SYNONYM_CTES = f"""{stem_ctes(_dictionary_words(), "d_stems")}, p AS (SELECT a.stem AS x, b.stem AS y FROM ({_PAIRS}) JOIN d_stems a ON a.word = head JOIN d_stems b ON b.word = syn),
+pairs AS (SELECT DISTINCT x AS stem, y AS synonym FROM (SELECT x, y FROM p UNION ALL SELECT y, x FROM p))"""
+
+#: Phrases of the catalog's queries over the sample corpus, traced by hand.
+_TRACED = [
+    (0, "machin~learn"), (1, "machin~learn"), (2, "natur~languag~process,data~bas"), (3, "big~o"), (4, ""), (5, ""), (6, ""),
+    (7, "neur~network,search~engin"), (8, ""), (9, ""), (10, "tim~seri"), (11, "invert~index"),
+]
+
 ORACLE = {
     "tokenise": f"WITH {TOKENS} SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1)::INT AS pos, stem AS token FROM tokens WHERE field = 1",
     "lexemes": f"WITH {TOKENS} SELECT doc_id, stem AS term, count(*) AS n FROM tokens GROUP BY 1, 2",
@@ -205,8 +218,9 @@ ORACLE = {
           FROM bad JOIN dfs ON regexp_full_match(term, '[a-z~]+') AND length(term) BETWEEN floor(0.78 * length(stem)) - 1 AND ceil(length(word) / 0.78) + 1),
         r AS (SELECT *, row_number() OVER (PARTITION BY word, stem ORDER BY sim DESC, term) AS rank FROM sims WHERE sim >= 0.78)
         SELECT word, stem, term, round(sim, 6) AS sim FROM r WHERE rank = 1""",
-    "synonyms": f"""WITH {stem_ctes(_dictionary_words())}, p AS (SELECT a.stem AS x, b.stem AS y FROM ({_PAIRS}) JOIN stems a ON a.word = head JOIN stems b ON b.word = syn)
-        SELECT DISTINCT x AS stem, y AS synonym FROM (SELECT x, y FROM p UNION ALL SELECT y, x FROM p)""",
+    "synonyms": f"WITH {_SYNONYM_CTES} SELECT stem, synonym FROM pairs",
+    "synonym_expand": f"WITH {POSTINGS.replace(DOCS, _SAMPLE_DOCS)}, {_SYNONYM_CTES} SELECT stem AS term, string_agg(synonym, ',' ORDER BY synonym) AS synonyms FROM pairs WHERE synonym IN (SELECT term FROM postings) GROUP BY 1",
+    "phrases": "SELECT qid::BIGINT AS qid, phrases FROM (" + _values(_TRACED, "qid, phrases") + ")",
     "phrase_table": f"""WITH {stem_ctes(_dictionary_words())}, w AS (SELECT n, unnest(string_split(phrase, ' ')) AS word, generate_subscripts(string_split(phrase, ' '), 1) AS i FROM ({_PHRASES})),
         c AS (SELECT n, string_agg(stem, '~' ORDER BY i) AS compound, count(*) AS k FROM w JOIN stems USING (word) GROUP BY 1) SELECT DISTINCT compound FROM c WHERE k IN (2, 3)""",
 }
