@@ -55,6 +55,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     maybe = probed.filter("again")
     groups = maybe.groupBy("text_sha256").agg(F.max(F.struct("doc_id", "row")).alias("top"), F.count("*").alias("group_size"))
+    groups = written(groups, "exact-dedup-groups")  # so that both sides of the join are plain exchanges, of which a hot one is split
     grouped = maybe.join(groups, "text_sha256").select(
         "doc_id", F.col("top.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("top.row")).alias("kept"), "text_sha256"
     )
