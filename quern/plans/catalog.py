@@ -35,7 +35,7 @@ def index_of(spark: SparkSession, sf_dir: str) -> I.Index:
     """Built once for a session and folder, and kept, as a running engine keeps its index."""
     key = spark.sparkContext.applicationId, sf_dir
     if key not in _held:
-        _held[key] = I.build_index(documents(spark, sf_dir))
+        _held[key] = store.settled(I.build_index(documents(spark, sf_dir)))
     return _held[key]
 
 
@@ -86,7 +86,7 @@ def asked(spark: SparkSession) -> DataFrame:
 def sample_index(spark: SparkSession) -> I.Index:
     key = spark.sparkContext.applicationId, "samples"
     if key not in _held:
-        _held[key] = I.build_index(samples.sample_corpus(spark, NOW))
+        _held[key] = store.settled(I.build_index(samples.sample_corpus(spark, NOW)))
     return _held[key]
 
 

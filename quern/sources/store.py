@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from dataclasses import fields
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.operators.index import Index, build_index
+from quern.operators.index import Index, build_index, vocab_trigrams
 
 DOCUMENTS = "doc_id long, title string, body string, created_at long"
 #: Tables that are looked up by term lie sorted by it, so that readers skip the row groups without it.
@@ -27,6 +29,28 @@ def load(spark: SparkSession, path: str) -> Index:
     return Index(**{f.name: spark.read.parquet(f"{path}/{f.name}") for f in fields(Index)})
 
 
+def settled(index: Index) -> Index:
+    """The index as tables of a shared scratch folder, so that what is planned over it does not carry how it was built.
+
+    The folder is under the one that the cluster names in spark.checkpoint.dir; a temporary one where that is unset.
+    Trigrams are made from the vocabulary again.
+    """
+    spark = index.postings.sparkSession
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named:
+        named = "file://" + tempfile.mkdtemp(prefix="index-")
+        spark.conf.set("spark.checkpoint.dir", named)
+    path = f"{named.rstrip('/')}/index-{uuid.uuid4().hex}"
+    tables = {}
+    for name, frame in index.tables().items():
+        if name != "trigrams":
+            frame.write.parquet(f"{path}/{name}")
+            tables[name] = spark.read.schema(frame.schema).parquet(f"{path}/{name}")
+    for frame in index.tables().values():
+        frame.unpersist()
+    return Index(**tables, trigrams=vocab_trigrams(tables["df"]))
+
+
 def load_or_new(spark: SparkSession, path: str) -> Index:
     """The index at a path, or an empty one if there is nothing. A broken index raises: it is not taken for an empty one."""
     try:
