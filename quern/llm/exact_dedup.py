@@ -11,10 +11,21 @@ from quern.llm.common import text_of, written
 BLOCK = 1 << 15
 
 
-def _bit(bits: Column, at: Column) -> Column:
-    """Whether bit `at` of a bitmap is set."""
+def filter_cells(rows: int, bits_per_row: int = 16, max_bytes: int = 1 << 26) -> int:
+    """Cells of a filter for so many rows: a power of two that max_bytes bounds."""
+    wanted = max(BLOCK, rows * bits_per_row)
+    return min(1 << (wanted - 1).bit_length(), 1 << ((max_bytes * 8).bit_length() - 1))
+
+
+def filter_blocks(cells: DataFrame) -> DataFrame:
+    """block, bits: the filter in which the cells of a table (column cell) are set."""
+    return cells.groupBy(F.shiftright("cell", 15).alias("block")).agg(F.bitmap_construct_agg(F.col("cell") % BLOCK).alias("bits"))
+
+
+def is_set(bits: Column, at: Column) -> Column:
+    """Whether bit `at` of a block is set; not, where there is no block."""
     byte = F.conv(F.hex(F.substring(bits, (F.shiftright(at, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    return F.getbit(byte, (at % 8).cast("int")) == 1
+    return F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits_per_row: int = 16, max_filter_bytes: int = 1 << 26) -> DataFrame:
@@ -30,24 +41,19 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     stays. Texts may be of any length: only their digests move. Other columns of docs are ignored.
     Returns doc_id, keep_id, group_size, kept, text_sha256; a row for each row of docs.
     """
-    spark = docs.sparkSession
     rows = written(
         docs.select(F.col(id_col).alias("doc_id"), F.sha2(text_of(text_col).cast("binary"), 256).alias("text_sha256"))
         .withColumn("row", F.monotonically_increasing_id()),
         "exact-dedup-hashes",
     )
-    wanted = max(BLOCK, rows.count() * bits_per_row)
-    cells = min(1 << (wanted - 1).bit_length(), 1 << ((max_filter_bytes * 8).bit_length() - 1))
+    cells = filter_cells(rows.count(), bits_per_row, max_filter_bytes)
     cell = F.pmod(F.xxhash64("text_sha256"), F.lit(cells))
     repeated = rows.groupBy(cell.alias("cell")).agg(F.count("*").alias("n")).filter("n > 1")
-    blocks = repeated.groupBy(F.shiftright("cell", 15).alias("block")).agg(
-        F.bitmap_construct_agg(F.col("cell") % BLOCK).alias("bits")
-    )
     probed = (
         rows.withColumn("cell", cell)
         .withColumn("block", F.shiftright("cell", 15))
-        .join(F.broadcast(blocks), "block", "left")
-        .withColumn("again", F.coalesce(_bit(F.col("bits"), F.col("cell") % BLOCK), F.lit(False)))
+        .join(F.broadcast(filter_blocks(repeated)), "block", "left")
+        .withColumn("again", is_set(F.col("bits"), F.col("cell") % BLOCK))
         .select("doc_id", "text_sha256", "row", "again")
     )
     alone = probed.filter(~F.col("again")).select(

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern.llm.common import free_name, written
+from quern.llm.exact_dedup import BLOCK, filter_blocks, filter_cells, is_set
 
 WIDTH = 64
 #: Shingles of one text that are voted on at a time.
@@ -263,7 +264,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mo
     """docs with one row of each component: the one with the least id, a null id coming last; of rows that share it, one.
 
     Rows are written once with their fingerprint and a number of their own, from which everything else is read; only
-    ids, numbers and fingerprints are grouped. Texts move once, to meet the numbers of the rows that stay.
+    ids, numbers and fingerprints are grouped. A Bloom filter of the numbers of the rows that go, bounded in size, is
+    broadcast; rows that miss it stay where they are, and only those that hit it shuffle, for an exact look.
     """
     fp, row = free_name("fp", docs.columns), free_name("row", docs.columns)
     schema = T.StructType([*docs.schema.fields, T.StructField(fp, T.LongType())])
@@ -279,4 +281,14 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mo
     firsts = narrow.groupBy("fp").agg(F.min(order).alias("first"))
     named = firsts.join(written(named_components(narrow, most), "near-dedup-named"), "fp")
     stay = named.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.row").alias(row))
-    return rows.join(written(stay, "near-dedup-stay"), row, "left_semi").select(docs.columns)
+    gone = written(rows.select(row).join(stay, row, "left_anti"), "near-dedup-gone")
+
+    cells = filter_cells(gone.count())
+    blocks = filter_blocks(gone.select(F.pmod(F.xxhash64(row), F.lit(cells)).alias("cell")))
+    block, bits = free_name("block", rows.columns), free_name("bits", rows.columns)
+    blocks = blocks.select(F.col("block").alias(block), F.col("bits").alias(bits))
+    cell = F.pmod(F.xxhash64(row), F.lit(cells))
+    probed = rows.withColumn(block, F.shiftright(cell, 15)).join(F.broadcast(blocks), block, "left")
+    hit = is_set(F.col(bits), cell % BLOCK)
+    checked = probed.filter(hit).select(*docs.columns, row).join(gone, row, "left_anti")
+    return probed.filter(~hit).select(docs.columns).unionByName(checked.select(docs.columns))
