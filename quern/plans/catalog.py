@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import text as X
@@ -18,7 +18,7 @@ from quern.plans.oracle import ORACLE
 from quern.sources import samples, store
 
 NOW = 1_704_067_200
-WORDS_OF_QUERY, PREFIX = 5, 3
+PREFIX = 3
 
 _held: dict[tuple[str, str], I.Index] = {}
 
@@ -31,6 +31,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.titled(_table(spark, sf_dir, "documents"), NOW)
 
 
+def whole() -> Column:
+    """A document's title and body as one text."""
+    return F.concat_ws(" ", "title", "body")
+
+
 def index_of(spark: SparkSession, sf_dir: str) -> I.Index:
     """Built once for a session and folder, and kept, as a running engine keeps its index."""
     key = spark.sparkContext.applicationId, sf_dir
@@ -40,9 +45,8 @@ def index_of(spark: SparkSession, sf_dir: str) -> I.Index:
 
 
 def workload(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """qid, raw: the first words of each benchmark text."""
-    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda x: x != "")
-    return _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.array_join(F.slice(words, 1, WORDS_OF_QUERY), " ").alias("raw"))
+    """qid, raw: each benchmark text is a query."""
+    return _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.coalesce("text", F.lit("")).alias("raw"))
 
 
 def query_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,15 +62,11 @@ def prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def misspelt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """word, stem: plain words of the workload with their third letter dropped."""
-    words = workload(spark, sf_dir).select(F.explode(X.words(F.col("raw"))).alias("w")).filter(F.rlike("w", F.lit("^[a-z]{5,}$"))).distinct()
+    """word, stem: the longer words of the workload with their third letter dropped."""
+    words = workload(spark, sf_dir).select(F.explode(X.words(F.col("raw"))).alias("w")).filter(F.char_length("w") >= 5).distinct()
     return with_stem(words.select(F.concat(F.left("w", F.lit(2)), F.substr("w", F.lit(4))).alias("word")).distinct(), "word")
 
 
-def plain_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index_of(spark, sf_dir).vocabulary.filter(F.rlike("term", F.lit("^[a-z~]+$")))
-
-
 def dictionaries(spark: SparkSession) -> tuple[list[str], DataFrame]:
     pairs = lexicon.synonym_pairs(lexicon.default_synonyms())
     return lexicon.phrase_terms(lexicon.default_phrases()), spark.createDataFrame(pairs, "stem string, synonym string")
@@ -91,7 +91,7 @@ def sample_index(spark: SparkSession) -> I.Index:
 
 
 def q_tokenise(spark, sf_dir):
-    words = documents(spark, sf_dir).select("doc_id", F.posexplode(F.filter(X.fragments(F.col("body")), X.long_enough)).alias("pos", "word"))
+    words = documents(spark, sf_dir).select("doc_id", F.posexplode(F.filter(X.fragments(whole()), X.long_enough)).alias("pos", "word"))
     return with_stem(words, "word", "token").select("doc_id", "pos", "token")
 
 
@@ -100,25 +100,25 @@ def q_lexemes(spark, sf_dir):
 
 
 def q_word_stems(spark, sf_dir):
-    words = documents(spark, sf_dir).select(F.explode(X.words(F.col("title"))).alias("word"))
+    words = documents(spark, sf_dir).select(F.explode(X.words(whole())).alias("word"))
     return with_stem(words, "word").groupBy("word", "stem").agg(F.count("*").alias("n"))
 
 
 def q_stem(spark, sf_dir):
-    words = documents(spark, sf_dir).select(F.explode(X.words(F.concat_ws(" ", "title", "body"))).alias("word")).distinct()
+    words = documents(spark, sf_dir).select(F.explode(X.words(whole())).alias("word")).distinct()
     return with_stem(words, "word")
 
 
 def _runs(n):
     def run(spark, sf_dir):
-        stems = lexeme_stems(X.raw_lexemes("title"))
+        stems = lexeme_stems(X.raw_lexemes("concat_ws(' ', title, body)"))
         return documents(spark, sf_dir).select("doc_id", stems.alias("stems")).select("doc_id", F.explode(X.ngrams(F.col("stems"), n)).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("n"))
 
     return run
 
 
 def q_char_trigrams(spark, sf_dir):
-    words = documents(spark, sf_dir).select(F.explode(X.words(F.col("title"))).alias("word")).distinct()
+    words = documents(spark, sf_dir).select(F.explode(X.words(whole())).alias("word")).distinct()
     return words.select("word", F.explode(X.char_trigrams(F.col("word"))).alias("trigram")).groupBy("word", "trigram").agg(F.count("*").alias("n"))
 
 
@@ -216,26 +216,23 @@ def q_p50(spark, sf_dir):
 
 
 def q_vocab_trigrams(spark, sf_dir):
-    held = index_of(spark, sf_dir).df.filter("title_df > 0 AND NOT contains(term, '~')")
-    return I.vocab_trigrams(held).groupBy("trigram").agg(F.count("*").alias("entries"), F.countDistinct("term").alias("terms"))
-
-
-def _title_terms(spark, sf_dir):
-    return I.vocab_trigrams(index_of(spark, sf_dir).df.filter("title_df > 0"))
+    # Repeats within a term are added up first, so that counting terms needs no second pass over all entries.
+    per_term = index_of(spark, sf_dir).trigrams.groupBy("trigram", "term").agg(F.count("*").alias("n"))
+    return per_term.groupBy("trigram").agg(F.sum("n").alias("entries"), F.count("*").alias("terms"))
 
 
 def q_trigram_best(spark, sf_dir):
-    best = typo.trigram_best(misspelt(spark, sf_dir).select(F.col("stem").alias("token")).distinct(), _title_terms(spark, sf_dir))
+    best = typo.trigram_best(misspelt(spark, sf_dir).select(F.col("stem").alias("token")).distinct(), index_of(spark, sf_dir).trigrams)
     return best.select("token", "term", F.round("jaccard", 6).alias("jaccard"))
 
 
 def q_trigram_suggest(spark, sf_dir):
-    found = typo.trigram_suggest(misspelt(spark, sf_dir).select(F.col("stem").alias("token")).distinct(), _title_terms(spark, sf_dir))
+    found = typo.trigram_suggest(misspelt(spark, sf_dir).select(F.col("stem").alias("token")).distinct(), index_of(spark, sf_dir).trigrams)
     return found.select("token", "rank", "term", F.round("jaccard", 6).alias("jaccard"))
 
 
 def q_spell_correct(spark, sf_dir):
-    found = typo.spell_correct(misspelt(spark, sf_dir), plain_vocabulary(spark, sf_dir))
+    found = typo.spell_correct(misspelt(spark, sf_dir), index_of(spark, sf_dir).vocabulary)
     return found.select("word", "stem", "term", F.round("sim", 6).alias("sim"))
 
 
