@@ -79,6 +79,23 @@ def cosine(queries: DataFrame, vectors: DataFrame) -> DataFrame:
     return shared.filter("norm > 0 AND q_norm > 0").select("qid", "doc_id", (F.col("dot") / (F.col("norm") * F.col("q_norm"))).alias("score")).filter("score > 0")
 
 
+def similar_ranks(similar: DataFrame, hits: DataFrame, k: int) -> DataFrame:
+    """qid, doc_id, rank by similarity, of each query's k most similar documents and of its hits (few a query): all that fusing needs.
+
+    A document that is no hit can be among the k first of the fused list only if it is among the k most similar. A
+    hit's rank is how many documents come no later than it. The hits' places cut each query's list into stretches; rows
+    are counted by stretch, partly before the shuffle, so the list of a query is never sorted in one task.
+    """
+    place = F.struct((-F.round("score", COMPARED)).alias("near"), "doc_id")
+    placed = similar.select("qid", "doc_id", place.alias("place"))
+    marks = placed.join(hits.select("qid", "doc_id"), ["qid", "doc_id"]).groupBy("qid").agg(F.sort_array(F.collect_list("place")).alias("marks"))
+    before = F.size(F.filter("marks", lambda m: m < F.col("place")))
+    counted = placed.join(marks, "qid").groupBy("qid", before.alias("stretch")).agg(F.count("*").alias("n"))
+    until = counted.withColumn("rank", F.sum("n").over(Window.partitionBy("qid").orderBy("stretch")).cast("int"))
+    of_hits = marks.select("qid", F.posexplode("marks").alias("stretch", "mark")).join(until, ["qid", "stretch"]).select("qid", "mark.doc_id", "rank")
+    return top(similar, k).select("qid", "doc_id", "rank").unionByName(of_hits).distinct()
+
+
 def rrf(first: DataFrame, second: DataFrame, first_weight: float, second_weight: float, k: int | None = 10) -> DataFrame:
     """qid, doc_id, score, rank of two ranked lists (qid, doc_id, rank from 1): sums of weight / (RRF_K + rank)."""
     part = lambda ranked, weight: ranked.select("qid", "doc_id", (F.lit(float(weight)) / (RRF_K + F.col("rank"))).alias("part"))

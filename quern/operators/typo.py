@@ -9,6 +9,8 @@ from quern.functions import text as X
 
 SPELL_THRESHOLD = 0.78
 TRIGRAM_THRESHOLD = 0.25
+#: Trigrams of misspelt words that are sent to every task, so that the vocabulary's stay where they are; some 10 MB.
+BROADCAST_ROWS = 200_000
 
 
 def similarity(a: Column, b: Column) -> Column:
@@ -65,6 +67,8 @@ def trigram_scores(asked: DataFrame, trigrams: DataFrame, threshold: float = TRI
     """
     own = asked.select("token", F.array_distinct(X.char_trigrams(F.col("token"))).alias("set"))
     own = own.select("token", F.size("set").alias("n_token"), F.explode("set").alias("trigram"))
+    if own.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:  # else both sides meet by hash
+        own = F.broadcast(own)
     shared = trigrams.join(own, "trigram").groupBy("token", "term", "n_token", "n_trigrams").agg(F.count("*").alias("both"))
     jaccard = F.col("both") / (F.col("n_token") + F.col("n_trigrams") - F.col("both"))
     return shared.select("token", "term", jaccard.alias("jaccard")).filter(F.col("jaccard") >= threshold)

@@ -194,7 +194,7 @@ def q_semantic(spark, sf_dir):
 def q_rrf(spark, sf_dir):
     held = index_of(spark, sf_dir)
     hits = rank.bm25(query_terms(spark, sf_dir), held.postings, held.df, held.stats, held.corpus, NOW, 20)
-    fused = rank.rrf(hits, rank.top(_similar(spark, sf_dir), None), 0.6, 0.4, 10)
+    fused = rank.rrf(hits, rank.similar_ranks(_similar(spark, sf_dir), hits, 10), 0.6, 0.4, 10)
     return fused.select("qid", "doc_id", "rank", F.round("score", 6).alias("score"))
 
 

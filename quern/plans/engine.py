@@ -56,7 +56,8 @@ def rank_queries(
     hits = rank.bm25(terms, index.postings, index.df, index.stats, index.corpus, now, 2 * limit).persist(StorageLevel.MEMORY_AND_DISK)
     blend = min(max(semantic_blend, 0.0), 1.0)
     if semantic_blend > LEAST_BLEND:
-        near = rank.top(rank.cosine(rank.query_vectors(terms, index.df, index.corpus), index.vectors), None)
+        similar = rank.cosine(rank.query_vectors(terms, index.df, index.corpus), index.vectors).persist(StorageLevel.MEMORY_AND_DISK)
+        near = rank.similar_ranks(similar, hits, limit)
     else:
         near = hits.select("qid", "doc_id", "rank").limit(0)
     fused = rank.rrf(hits, near, 1 - blend, blend, limit)
