@@ -113,8 +113,12 @@ def completions(docs: DataFrame) -> DataFrame:
 
 
 def vocab_trigrams(df: DataFrame) -> DataFrame:
-    """trigram, term, n_trigrams: a row for each of the term's character trigrams, repeats kept."""
-    return df.select("term", X.char_trigrams(F.col("term")).alias("all")).select(F.explode("all").alias("trigram"), "term", F.size("all").alias("n_trigrams"))
+    """trigram, term, n_trigrams, n_repeats: a row for each of the term's character trigrams, repeats kept."""
+    whole = df.select("term", F.explode(F.array(X.char_trigrams(F.col("term")))).alias("all"))  # a generator, so that they are made once
+    size = F.size("all")
+    return whole.select("term", "all", size.alias("n_trigrams"), (size - F.size(F.array_distinct("all"))).alias("n_repeats")).select(
+        F.explode("all").alias("trigram"), "term", "n_trigrams", "n_repeats"
+    )
 
 
 @dataclass

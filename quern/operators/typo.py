@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,7 +10,7 @@ from quern.functions import text as X
 
 SPELL_THRESHOLD = 0.78
 TRIGRAM_THRESHOLD = 0.25
-#: Trigrams of misspelt words that are sent to every task, so that the vocabulary's stay where they are; some 10 MB.
+#: Trigrams of misspelt words that are sent to every task, so that the vocabulary's stay where they are; under 100 MB.
 BROADCAST_ROWS = 200_000
 
 
@@ -64,14 +65,29 @@ def trigram_scores(asked: DataFrame, trigrams: DataFrame, threshold: float = TRI
 
     The token's trigrams are a set, the term's a list: a trigram counts as often as the term has it, so the
     measure can exceed 1.
+
+    A token of q trigrams and a term of m reach the threshold t only with t / (1 + t) * (q + m) in common. Less the
+    term's repeats, so many of the token's trigrams are in the term; hence one of any q - that + 1 is. So a pair is
+    looked at only if it meets in one of the token's rarest trigrams: few where the term is long. Those that no term has come before them all.
     """
-    own = asked.select("token", F.array_distinct(X.char_trigrams(F.col("token"))).alias("set"))
-    own = own.select("token", F.size("set").alias("n_token"), F.explode("set").alias("trigram"))
+    sets = asked.select("token", F.array_distinct(X.char_trigrams(F.col("token"))).alias("set"))
+    own = sets.select("token", F.size("set").alias("n_token"), F.explode("set").alias("own_trigram"))
+    often = trigrams.groupBy("trigram").agg(F.count("*").alias("often"))
+    rarest = Window.partitionBy("token").orderBy("often", "own_trigram")
+    own = own.join(often, F.col("own_trigram") == F.col("trigram")).drop("trigram")
+    unseen = F.col("n_token") - F.count("*").over(Window.partitionBy("token"))
+    own = own.withColumn("place", unseen + F.row_number().over(rarest) - 1)
+    own = own.drop("often").persist(StorageLevel.MEMORY_AND_DISK)
     if own.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:  # else both sides meet by hash
         own = F.broadcast(own)
-    shared = trigrams.join(own, "trigram").groupBy("token", "term", "n_token", "n_trigrams").agg(F.count("*").alias("both"))
+    common = F.ceil(threshold / (1 + threshold) * (F.col("n_token") + F.col("n_trigrams")) - 1e-6) - F.col("n_repeats")
+    near = trigrams.join(own, (F.col("trigram") == F.col("own_trigram")) & (F.col("place") <= F.col("n_token") - F.greatest(common, F.lit(1))))
+    pairs = near.select("token", "term", "n_token", "n_trigrams").distinct()
+    # What the padded token contains are its trigrams.
+    both = F.size(F.filter(X.char_trigrams(F.col("term")), lambda t: F.contains(F.concat(F.lit("$"), F.col("token"), F.lit("$")), t)))
     jaccard = F.col("both") / (F.col("n_token") + F.col("n_trigrams") - F.col("both"))
-    return shared.select("token", "term", jaccard.alias("jaccard")).filter(F.col("jaccard") >= threshold)
+    counted = pairs.select("token", "term", "n_token", "n_trigrams", F.explode(F.array(both)).alias("both"))  # once for each pair, behind the shuffle
+    return counted.select("token", "term", jaccard.alias("jaccard")).filter(F.col("jaccard") >= threshold)
 
 
 def trigram_best(asked: DataFrame, trigrams: DataFrame, threshold: float = TRIGRAM_THRESHOLD) -> DataFrame:

@@ -148,6 +148,33 @@ def test_recency_and_fusion(spark):
     assert fused[0].doc_id == 1 and fused[0].score == pytest.approx(1 / 61 + 1 / 62)
 
 
+def test_trigram_scores_match_all_pairs(spark):
+    terms = ["aaaa", "aaaaaaa", "banana", "bananas", "ban", "nab", "a", "", "été", "search~engin", "searching~engines~far", "research"]
+    tokens = ["aaa", "banan", "a", "ete", "été", "serch", "search~engine", "zzz"]
+    grams = lambda w: [f"${w}$"[i : i + 3] for i in range(len(w))]
+    want = {}
+    for a in tokens:
+        for b in terms:
+            both = sum(g in set(grams(a)) for g in grams(b))
+            value = both / max(1, len(set(grams(a))) + len(grams(b)) - both)
+            if both and value >= 0.25:
+                want[a, b] = pytest.approx(value)
+    asked = spark.createDataFrame([(t,) for t in tokens], "token string")
+    vocabulary = spark.createDataFrame([(t,) for t in terms], "term string")
+    got = typo.trigram_scores(asked, I.vocab_trigrams(vocabulary)).collect()
+    assert {(r.token, r.term): r.jaccard for r in got} == want and len(got) == len(want)
+
+
+def test_ranks_for_fusion_match_the_whole_list(spark):
+    scores = [(q, d, round(((d * 37 + q) % 11) / 11 + 0.01, 6)) for q in (1, 2) for d in range(60)]
+    similar = spark.createDataFrame(scores, "qid long, doc_id long, score double")
+    hits = spark.createDataFrame([(1, 5), (1, 59), (1, 999), (2, 0), (3, 1)], "qid long, doc_id long")
+    whole = {(r.qid, r.doc_id): r.rank for r in rank.top(similar, None).collect()}
+    got = rank.similar_ranks(similar, hits, 4).collect()
+    assert {(r.qid, r.doc_id): r.rank for r in got} == {k: v for k, v in whole.items() if v <= 4 or k in {(1, 5), (1, 59), (2, 0)}}
+    assert len(got) == len({(r.qid, r.doc_id) for r in got})
+
+
 def test_cosine_of_equal_and_of_unlike_vectors(spark):
     vectors = spark.createDataFrame([(1, "a", 1.0, math.sqrt(5)), (1, "b", 2.0, math.sqrt(5)), (2, "c", 1.0, 1.0)], "doc_id long, term string, weight double, norm double")
     asked = vectors.filter("doc_id = 1").withColumnRenamed("doc_id", "qid")
