@@ -56,7 +56,7 @@ def rank_queries(
     hits = rank.bm25(terms, index.postings, index.df, index.stats, index.corpus, now, 2 * limit).persist(StorageLevel.MEMORY_AND_DISK)
     blend = min(max(semantic_blend, 0.0), 1.0)
     if semantic_blend > LEAST_BLEND:
-        similar = rank.cosine(rank.query_vectors(terms, index.df, index.corpus), index.vectors).persist(StorageLevel.MEMORY_AND_DISK)
+        similar = rank.cosine(rank.query_vectors(terms, index.df, index.corpus), index.vectors)  # its shuffle is reused, so nothing is kept
         near = rank.similar_ranks(similar, hits, limit)
     else:
         near = hits.select("qid", "doc_id", "rank").limit(0)
@@ -116,15 +116,10 @@ class SearchEngine:
         added, ids = number_documents(docs, self.held.documents, self._now(now))
         self.held = build_index(self.held.documents.unionByName(added))
         if self.path:
-            self._save()
+            store.save(self.held, self.path)
+            self.held = store.load(self.spark, self.path)
         return ids
 
-    def _save(self) -> None:
-        """The tables are computed before they replace those that they were made from."""
-        for frame in self.held.tables().values():
-            frame.count()
-        store.save(self.held, self.path)
-
     def stats(self) -> DataFrame:
         return statistics(self.held)
 

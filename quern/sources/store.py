@@ -6,27 +6,51 @@ import tempfile
 import uuid
 from dataclasses import fields
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.operators.index import Index, build_index, vocab_trigrams
 
+#: Folders of an index's versions, and the table that is written last.
+VERSION, LAST = "version-", "documents"
 DOCUMENTS = "doc_id long, title string, body string, created_at long"
 #: Tables that are looked up by term lie sorted by it, so that readers skip the row groups without it.
 BY_TERM = {"postings": "term", "vectors": "term", "df": "term", "completions": "term", "trigrams": "trigram"}
 
 
-def save(index: Index, path: str) -> None:
-    """Write every table; an earlier index at the path is replaced."""
-    for name, frame in index.tables().items():
-        key = BY_TERM.get(name)
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the whole versions at a path: those whose last table has been committed."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(where):
+        return []
+    names = [entry.getPath().getName() for entry in files.listStatus(where)]
+    found = [int(n.removeprefix(VERSION)) for n in names if n.startswith(VERSION) and n.removeprefix(VERSION).isdigit()]
+    return sorted(n for n in found if files.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{VERSION}{n}/{LAST}/_SUCCESS")))
+
+
+def save(index: Index, path: str, kept: int = 2) -> None:
+    """Write every table as a new version; readers take the newest whole one, so a save that fails changes nothing.
+
+    An index may be read from the version before while its successor is written, also again after a lost executor.
+    Of older versions `kept` - 1 stay for readers that are under way.
+    """
+    spark = index.documents.sparkSession
+    old = _versions(spark, path)
+    new = f"{path}/{VERSION}{max(old, default=0) + 1}"
+    tables = index.tables()
+    for name in sorted(tables, key=lambda n: n == LAST):
+        key, frame = BY_TERM.get(name), tables[name]
         frame = frame.repartitionByRange(key).sortWithinPartitions(key) if key else frame
-        frame.write.mode("overwrite").parquet(f"{path}/{name}")
+        frame.write.mode("overwrite").parquet(f"{new}/{name}")
+    for n in old[: max(0, len(old) + 1 - kept)]:
+        where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{VERSION}{n}")
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def load(spark: SparkSession, path: str) -> Index:
-    return Index(**{f.name: spark.read.parquet(f"{path}/{f.name}") for f in fields(Index)})
+    newest = _versions(spark, path)[-1]
+    return Index(**{f.name: spark.read.parquet(f"{path}/{VERSION}{newest}/{f.name}") for f in fields(Index)})
 
 
 def settled(index: Index) -> Index:
@@ -53,11 +77,7 @@ def settled(index: Index) -> Index:
 
 def load_or_new(spark: SparkSession, path: str) -> Index:
     """The index at a path, or an empty one if there is nothing. A broken index raises: it is not taken for an empty one."""
-    try:
-        spark.read.parquet(f"{path}/documents")
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
+    if not _versions(spark, path):
         return build_index(spark.createDataFrame([], DOCUMENTS), persist=False)
     return load(spark, path)
 

@@ -271,6 +271,12 @@ def test_save_load_and_streamed_documents(spark, tmp_path):
     ingest(stream, again, str(tmp_path / "checkpoint")).awaitTermination()
     found = SearchEngine(spark, path=path).search(ask(spark, "fresh arrival"), NOW).orderBy("rank").first()
     assert (found.doc_id, found.title) == (10, "Fresh arrival")
+    # A version without its last table isn't read, and a later save takes its place.
+    (tmp_path / "index" / "version-3" / "postings").mkdir(parents=True)
+    assert store.load_or_new(spark, path).documents.count() == 11
+    third = SearchEngine(spark, path=path)
+    assert third.index(spark.createDataFrame([("Late", "words")], "title string, body string"), NOW) == [11]
+    assert sorted(p.name for p in (tmp_path / "index").iterdir()) == ["version-2", "version-3"] and third.stats().first().total_docs == 12
 
 
 def test_median_latency(spark):
