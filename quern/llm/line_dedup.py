@@ -14,7 +14,8 @@ FIELD = r"[^ \t\x0B\f\r0-9]*[0-9][^ \t\x0B\f\r]*"
 #: The same, tried at the starts of tokens alone, so that a very long token costs one pass.
 FIELD_ONCE = r"(?<![^ \t\x0B\f\r])[^ \t\x0B\f\r0-9]*+[0-9][^ \t\x0B\f\r]*+"
 FIELD_MARK = "<*>"
-#: Shape of the tree: leading tokens on the path to a leaf, parts into which the rest of a line is cut, least tokens of a line.
+#: Shape of the tree: leading tokens on the path to a leaf, parts into which the rest of a line is cut. The SQL alone leaves out
+#: lines of fewer than LEAST tokens.
 DEPTH, PARTS, LEAST = 3, 8, 5
 
 
@@ -25,24 +26,26 @@ def tokens_of(line: Column) -> Column:
 
 
 def _parts(tokens: Column) -> Column:
-    """Hashes of the tokens behind the leading ones, cut into min(PARTS, how many) runs of as equal length as can be."""
+    """Hashes of the tokens behind the leading ones, cut into min(PARTS, how many) runs of as equal length as can be; none if there are none."""
     many = F.size(tokens) - DEPTH
     cut = F.least(many, F.lit(PARTS))
     begin = lambda g: F.floor(g * many / cut).cast("int")
-    return F.transform(F.sequence(F.lit(0), cut - 1), lambda g: F.hash(F.slice(tokens, begin(g) + DEPTH + 1, begin(g + 1) - begin(g))))
+    runs = F.when(many > 0, F.sequence(F.lit(0), cut - 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(runs, lambda g: F.hash(F.slice(tokens, begin(g) + DEPTH + 1, begin(g + 1) - begin(g))))
 
 
 def parsed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc (a hash of id and text), id, line (its number from 0), leaf and parts of each line that is long enough.
+    """doc (a hash of id and text), id, line (its number from 0), leaf and parts of each line that is not blank.
 
-    The tree has a fixed depth: token count, then the DEPTH leading tokens; a leaf is a hash of that path. A row is
+    The tree has a fixed depth: token count, then the DEPTH leading tokens, or all of a shorter line, which then has no
+    parts and only equals lines that are the same; a leaf is a hash of that path. A row is
     small however long its line is. A line's tokens come out of a generator, which computes them once whatever is made
     of them; a document's text does not go along with its lines.
     """
     text = text_of(text_col)
     whole = docs.select(F.xxhash64(F.col(id_col), text).alias("doc"), F.col(id_col).alias("id"), F.split(text, "\n").alias("lines"))
     lines = whole.select("doc", "id", F.posexplode("lines").alias("line", "content"))
-    cut = lines.select("doc", "id", "line", F.explode(F.array(tokens_of(F.col("content")))).alias("tokens")).filter(F.size("tokens") >= LEAST)
+    cut = lines.select("doc", "id", "line", F.explode(F.array(tokens_of(F.col("content")))).alias("tokens")).filter(F.get("tokens", F.lit(0)) != "")
     path = F.xxhash64(F.size("tokens"), F.slice("tokens", 1, DEPTH))
     return cut.select("doc", "id", "line", path.alias("leaf"), _parts(F.col("tokens")).alias("parts"))
 
@@ -79,8 +82,7 @@ def recurring_lines(lines: DataFrame, alike: float = 0.75) -> DataFrame:
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each row of docs with lines of recurring templates dropped: row (a struct of all its columns), text, n_lines, n_dropped.
 
-    Lines are what line feeds separate. Lines of fewer than LEAST tokens have too short a path to tell a template by
-    and stay. Of a template that two or more documents have, the first occurrence stays, so that nothing is lost from
+    Lines are what line feeds separate. Blank lines stay. Of a template that two or more documents have, the first occurrence stays, so that nothing is lost from
     the corpus as a whole. Only hashes of lines are grouped; texts move once, to meet the numbers of their dropped lines.
 
     Null texts count as empty and come back as empty. Null ids come before all others. Rows with the same id and text

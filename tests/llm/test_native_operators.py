@@ -54,6 +54,12 @@ def test_line_dedup_edge_cases(spark):
     assert line_dedup.dedup_lines(docs_of(spark, rows).limit(0)).count() == 0
 
 
+def test_short_lines_that_recur_are_dropped(spark):
+    rows = [(1, "Les.\nOf, edti oner.\nown words", "s"), (2, "Les.\n\nOf, edti oner.", "s"), (3, "one two three four\nLes.\nLes. now", "s"), (4, "one two three five", "s"), (5, "one two three four", "s")]
+    got = {r.row.doc_id: (r.text, r.n_dropped) for r in line_dedup.dedup_lines(docs_of(spark, rows)).collect()}
+    assert got == {1: (rows[0][1], 0), 2: ("", 2), 3: ("one two three four\nLes. now", 1), 4: (rows[3][1], 0), 5: ("", 1)}
+
+
 def test_line_templates_leave_variable_fields_open(spark):
     base = "Posted by the {} in our forum on this lovely day for all readers of the old site"
     rows = [(i, base.format(name), "s") for i, name in enumerate(["alice", "bob", "carol"])] + [(9, base.replace("forum", "bakery").replace("lovely", "rainy").replace("old", "new").replace("readers", "eaters").format("dave"), "s")]
