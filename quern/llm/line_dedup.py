@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,33 +52,48 @@ def parsed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return cut.select("doc", "id", "line", path.alias("leaf"), _parts(F.col("tokens")).alias("parts"))
 
 
+def _masks(alike: float) -> dict[int, list[tuple[int, ...]]]:
+    """For each number of parts, the sets of places that stay constant when as many others as `alike` lets are left open."""
+    return {n: list(combinations(range(n), n - int(n * (1 - alike) + 1e-9))) for n in range(1, PARTS + 1)}
+
+
+def _templates(leaf: Column, parts: Column, alike: float) -> Column:
+    """Hashes of all templates that a line can have, one for each set of constant places; none where no place can be open."""
+    out = F.array().cast("array<bigint>")
+    for n, masks in _masks(alike).items():
+        if len(masks) > 1:
+            keys = [F.xxhash64(leaf, F.lit(sum(1 << i for i in mask)), *(F.get(parts, F.lit(i)) for i in mask)) for mask in masks]
+            out = F.when(F.size(parts) == n, F.array(*keys)).otherwise(out)
+    return out
+
+
 def recurring_lines(lines: DataFrame, alike: float = 0.75) -> DataFrame:
     """doc, id, line of each line whose template occurs in two or more documents, but for the template's first occurrence.
 
-    In a leaf a part is constant where two or more documents have it at the same place; other parts are variable
-    fields. A line's template is its constant parts with its variable ones left open; a line with less than `alike` of
-    its parts constant is a template of its own. The first occurrence is the one with the smallest id, then line.
+    Lines of a leaf that agree in `alike` of their parts, at the same places, share a template; the other places are its
+    variable fields, whatever values recur in them. Lines repeated verbatim are members like others. Of the templates
+    that it shares with other lines, a line belongs to the one with most different lines; a line that shares none is a template of
+    its own. Each line has one template, so that the first occurrence of each stays: the one with the smallest id, then line.
     """
     # Equal lines become one row with their first and last document, so a hot line is one row from here on.
     span = [F.min("a").alias("a"), F.max("b").alias("b"), F.min("first").alias("first")]
+    own = F.xxhash64("leaf", "parts")
     seen = lines.select("leaf", "parts", F.col("doc").alias("a"), F.col("doc").alias("b"), F.struct("id", "doc", "line").alias("first"))
-    same = written(seen.groupBy("leaf", "parts").agg(*span), "line-groups")
-    exact = same.filter("a <> b").select("leaf", "parts", "first")
-
-    # What one document alone has can still share a template with other documents' lines of its leaf.
-    shared = same.groupBy("leaf").agg(*span[:2]).filter("a <> b").select("leaf")
-    held = same.join(shared, "leaf", "left_semi").select("leaf", "parts", "a", "b", "first", F.posexplode("parts").alias("place", "part"))
-    held = written(held, "line-parts")
-    constant = held.groupBy("leaf", "place", "part").agg(*span[:2]).filter("a <> b").select("leaf", "place", "part", F.lit(True).alias("constant"))
-    open_parts = held.filter("a = b").join(written(constant, "line-constants"), ["leaf", "place", "part"], "left")
-    field = F.struct("place", F.when(F.col("constant"), F.col("part")).alias("part"))
-    templated = open_parts.groupBy("leaf", "parts", "a", "b", "first").agg(F.sort_array(F.collect_list(field)).alias("template"), F.count("constant").alias("constants"))
-    templated = written(templated.filter((F.col("constants") >= alike * F.size("parts")) & (F.col("constants") < F.size("parts"))), "line-templates")
-    groups = written(templated.groupBy("leaf", "template").agg(*span).filter("a <> b").select("leaf", "template", "first"), "line-recurring")
-    alike_lines = templated.select("leaf", "template", "parts").join(groups, ["leaf", "template"]).select("leaf", "parts", "first")
-
-    found = written(exact.unionByName(alike_lines), "line-drops")
-    return lines.join(found, ["leaf", "parts"]).filter(F.struct("id", "doc", "line") != F.col("first")).select("doc", "id", "line")
+    same = written(seen.groupBy("leaf", "parts").agg(*span).withColumn("own", own), "line-groups")
+
+    # Only a leaf that holds different lines, of two or more documents, can hold a template of several.
+    shared = same.groupBy("leaf").agg(*span[:2], F.count("*").alias("many")).filter("a <> b AND many > 1").select("leaf")
+    held = same.join(shared, "leaf", "left_semi")
+    keys = written(held.select("own", F.explode(_templates(F.col("leaf"), F.col("parts"), alike)).alias("template")), "line-keys")
+    common = written(keys.groupBy("template").agg(F.count("*").alias("many")).filter("many > 1"), "line-templates")
+    best = keys.join(common, "template").groupBy("own").agg(F.max(F.struct("many", "template")).alias("best"))
+    best = written(best.select("own", F.col("best.template").alias("template")), "line-choices")
+
+    # A line without company can recur by itself alone.
+    told = written(same.join(best, "own", "left").filter("template IS NOT NULL OR a <> b").select("own", F.coalesce("template", "own").alias("template"), "a", "b", "first"), "line-told")
+    groups = written(told.groupBy("template").agg(*span).filter("a <> b").select("template", F.col("first").alias("kept")), "line-recurring")
+    found = written(told.select("own", "template").join(groups, "template").select("own", "kept"), "line-drops")
+    return lines.withColumn("own", own).join(found, "own").filter(F.struct("id", "doc", "line") != F.col("kept")).select("doc", "id", "line")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

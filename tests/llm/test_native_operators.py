@@ -67,6 +67,18 @@ def test_line_templates_leave_variable_fields_open(spark):
     assert got == {0: 0, 1: 1, 2: 1, 9: 0}
 
 
+def test_line_templates_with_values_that_recur(spark):
+    base = "Posted by the {} in our {} on this lovely day for all readers of the old site"
+    few = [(i, base.format(n, p), "s") for i, (n, p) in enumerate(itertools.product(["alice", "bob"], ["forum", "club"]))]
+    assert [r.n_dropped for r in line_dedup.dedup_lines(docs_of(spark, few)).orderBy("row.doc_id").collect()] == [0, 1, 1, 1]
+    many = [(i, base.format(f"name{chr(97 + i % 20)}", f"town{chr(97 + i // 20)}"), "s") for i in range(300)]
+    assert line_dedup.dedup_lines(docs_of(spark, many)).filter("n_dropped = 1").count() == 299
+    verbatim = [(i, base.format("alice", "forum"), "s") for i in range(5)] + [(9, base.format("zoe", "forum"), "s")]
+    assert [r.n_dropped for r in line_dedup.dedup_lines(docs_of(spark, verbatim)).orderBy("row.doc_id").collect()] == [0, 1, 1, 1, 1, 1]
+    alone = [(1, "\n".join(t for _, t, _ in few), "s"), (2, "wholly other words stand in this one line", "s")]
+    assert line_dedup.dedup_lines(docs_of(spark, alone)).filter("n_dropped > 0").count() == 0
+
+
 def test_url_rules(spark):
     pages = [
         (1, "http://A.Example.NET/en/x", "allow", "example.net/en/"), (2, "https://b.example.net/de/", "block", "net/"), (3, "http://example.com/de/?q", "block", "example.com/de/"),
