@@ -45,7 +45,7 @@ def verdict_of(rule: Column, rules: Sequence[tuple[str, str]]) -> Column:
 def propagate(seeds: DataFrame, shares: DataFrame, damping: float, rounds: int) -> DataFrame:
     """Personalised PageRank of each host as the sum of its series: seeds, what they pass on, what that passes on, ...
 
-    seeds: host, mass. shares: from_host, to_host, share (of what from_host passes on). Each round is a join and a sum
+    seeds: host, mass. shares: from_host, to_host, share (of from_host's mass that to_host gets). Each round is a join and a sum
     that is combined before its shuffle; the join's hot hosts are split by the adaptive plan. A round's masses are
     written, so that the next one starts from them. It ends when nothing of a unit or more is passed on.
     """
@@ -72,8 +72,9 @@ def judge_urls(
 
     A host's trust seed is the part of its pages that a rule allows; its distrust seed the part that a rule blocks.
     Trust runs along links between hosts (absolute href targets in the pages), shared by number of links; distrust
-    runs against them, since a host that links to bad ones is suspect. A host is blocked when its distrust exceeds
-    its trust and is at least `least_distrust` of what a wholly blocked host without links has; all others are allowed.
+    runs against them, since a host that links to bad ones is suspect: each host takes its targets' distrust by the part
+    of its own links that lead there, so that other hosts that link there too don't lessen it. A host is blocked when its
+    distrust exceeds its trust and is at least `least_distrust` of what a wholly blocked host without links has; all others are allowed.
 
     Null urls, or urls without ://, have an empty host and path, fit no rule and are allowed. Null html has no links.
     Repeated rows are judged alike, each giving a row. Rules are a short list held in the plan. Urls, not pages' texts,
@@ -94,10 +95,9 @@ def judge_urls(
     )
     links = written(links, "url-links")
     leaving = links.groupBy("source").agg(F.sum("links").alias("all_links"))
-    entering = links.groupBy("target").agg(F.sum("links").alias("all_links"))
     share = (F.col("links").cast("double") / F.col("all_links")).alias("share")
-    forward = links.join(leaving, "source").select(F.col("source").alias("from_host"), F.col("target").alias("to_host"), share)
-    backward = links.join(entering, "target").select(F.col("target").alias("from_host"), F.col("source").alias("to_host"), share)
+    forward = written(links.join(leaving, "source").select(F.col("source").alias("from_host"), F.col("target").alias("to_host"), share), "url-shares")
+    backward = forward.select(F.col("to_host").alias("from_host"), F.col("from_host").alias("to_host"), "share")
 
     part = lambda verdict: F.floor(F.lit(float(UNIT)) * F.count_if(F.col("by_rule") == verdict) / F.count("*")).cast("long")
     hosts = written(urls.filter("host <> ''").groupBy("host").agg(part("allow").alias("trusted"), part("block").alias("blocked")), "url-hosts")

@@ -101,6 +101,15 @@ def test_distrust_runs_against_links_and_trust_along_them(spark):
     assert got == {1: "block", 2: "block", 3: "allow", 4: "allow", 5: "allow"}
 
 
+def test_many_linkers_of_a_blocked_host_are_blocked(spark):
+    link = lambda *hosts: "".join(f'<a href="http://{h}/">x</a>' for h in hosts)
+    farms = [(i, f"http://farm{i}.info/", link("bad.net")) for i in range(2, 102)]
+    other = [(200, "http://portal.info/", link("bad.net", *(f"good{k}.info" for k in range(9)))), (201, "http://second.info/", link("farm2.info"))]
+    frame = spark.createDataFrame([(1, "http://bad.net/", ""), *farms, *other], "page_id long, url string, html string")
+    got = {r.page_id: r.verdict for r in url_filter.judge_urls(frame).collect()}
+    assert got == {i: "block" for i in range(1, 102)} | {200: "allow", 201: "block"}
+
+
 def brute_top(rows, k=10):
     clean = [(i, np.floor(1024 * np.array(v, float)).astype(int)) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     out = set()
