@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from quern.llm.common import held_out, sampled_ids
 
-#: Longest context in bytes; symbols that bytes are mapped to; windows of bytes scored at a time.
+#: Longest context in bytes; symbols of the small alphabet that code_lengths() is written out for; windows of bytes scored at a time.
 ORDER, SYMBOLS, CHUNK = 3, 48, 1 << 18
+BYTES = 256
 UNKNOWN = "und"
 _LETTERS = bytes(c | 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -36,68 +37,113 @@ def windows(data: bytes) -> np.ndarray:
     return out
 
 
+class Contexts:
+    """The probabilities of one language, held sparsely: what was seen, and what a seen context adds for an escape.
+
+    A context that was seen T times before U different symbols gives a seen symbol count / (T + U) and escapes with
+    U / (T + U) to the context one byte shorter, where symbols it has seen itself are left out. Below the empty context
+    all symbols are alike. What has no counts at all escapes for sure. The probabilities of a context add up to 1.
+    """
+
+    def __init__(self, codes: np.ndarray, counts: np.ndarray, symbols: int = BYTES) -> None:
+        self.symbols, self.orders = symbols, []
+        for order in range(ORDER + 1):
+            seen, place = np.unique(codes.astype(np.int64) % symbols ** (order + 1), return_inverse=True)
+            n = np.bincount(place, weights=counts, minlength=len(seen))
+            contexts, of = np.unique(seen // symbols, return_inverse=True)
+            total, kinds = np.bincount(of, weights=n, minlength=len(contexts)), np.bincount(of, minlength=len(contexts))
+            below = np.exp2(-self.bits(seen % symbols**order))
+            # Where a context has seen all symbols there is none to escape to.
+            rest = np.where(kinds < symbols, 1 - np.bincount(of, weights=below, minlength=len(contexts)), 0)
+            escape = np.where(rest > 0, kinds, 0)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                more = np.where(escape > 0, np.log2(rest) - np.log2(escape / (total + escape)), np.inf)
+            self.orders.append((seen, np.log2((total + escape)[of]) - np.log2(n), contexts, more))
+
+    def bits(self, windows: np.ndarray) -> np.ndarray:
+        """-log2 of the probability of the last symbol of each window after the symbols before it."""
+        out, todo = np.zeros(len(windows)), np.arange(len(windows))
+        for order in reversed(range(len(self.orders))):
+            seen, bits, contexts, more = self.orders[order]
+            own = windows[todo] % self.symbols ** (order + 1)
+            at, found = _places(seen, own)
+            out[todo[found]] += bits[at[found]]
+            todo, own = todo[~found], own[~found]
+            at, found = _places(contexts, own // self.symbols)
+            out[todo[found]] += more[at[found]]
+        out[todo] += np.log2(self.symbols)
+        return out
+
+
+def _places(held: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each asked number is in the sorted held ones, and whether it is there."""
+    if not len(held):
+        return np.zeros(len(asked), np.int64), np.zeros(len(asked), bool)
+    at = np.minimum(np.searchsorted(held, asked), len(held) - 1)
+    return at, held[at] == asked
+
+
 @dataclass
 class Model:
-    """Window counts by language, from which each worker builds its table of code lengths once."""
+    """Window counts by language, from which each worker builds its contexts once."""
 
     languages: list[str]
-    symbol: np.ndarray  # of each byte; the last symbol stands for all bytes without one of their own
+    symbol: np.ndarray  # of each byte: each has one of its own
     codes: list[np.ndarray]
     counts: list[np.ndarray]
-    _bits: np.ndarray | None = field(default=None, repr=False)
+    _contexts: list[Contexts] | None = field(default=None, repr=False)
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"_bits": None}
+        return self.__dict__ | {"_contexts": None}
 
     @property
-    def bits(self) -> np.ndarray:
-        """Code length of the last symbol of a window, for each window of symbols and language."""
-        if self._bits is None:
-            self._bits = np.stack([code_lengths(c, n) for c, n in zip(self.codes, self.counts, strict=True)], axis=1)
-        return self._bits
-
-    def lengths(self, text: str) -> np.ndarray:
-        """Bits that each language's statistics need for the whole text."""
-        data, total = self.symbol[np.frombuffer(plain(text), np.uint8)], np.zeros(len(self.languages))
-        for a in range(0, len(data) - ORDER, CHUNK):
-            s = data[a : a + CHUNK + ORDER].astype(np.int32)
-            code = s[: len(s) - ORDER]
-            for k in range(1, ORDER + 1):
-                code = code * SYMBOLS + s[k : k + len(code)]
-            total += self.bits.take(code, axis=0).sum(axis=0, dtype=np.float64)
+    def contexts(self) -> list[Contexts]:
+        if self._contexts is None:
+            self._contexts = [Contexts(c, n) for c, n in zip(self.codes, self.counts, strict=True)]
+        return self._contexts
+
+    def lengths(self, texts: list[str]) -> np.ndarray:
+        """Bits that each language's statistics need for each whole text (none of them empty): a row for each text.
+
+        Windows are scored some CHUNK at a time, each different one once.
+        """
+        total = np.zeros((len(texts), len(self.languages)))
+        held: list[tuple[int, np.ndarray]] = []
+
+        def score() -> None:
+            all_windows = np.concatenate([w for _, w in held])
+            kinds = np.unique(all_windows)
+            place, starts = np.searchsorted(kinds, all_windows), np.cumsum([0, *(len(w) for _, w in held[:-1])])
+            for k, contexts in enumerate(self.contexts):
+                np.add.at(total[:, k], [i for i, _ in held], np.add.reduceat(contexts.bits(kinds.astype(np.int64))[place], starts))
+            held.clear()
+
+        waiting = 0
+        for i, text in enumerate(texts):
+            data = plain(text)
+            for a in range(0, len(data) - ORDER, CHUNK):
+                held.append((i, windows(data[a : a + CHUNK + ORDER])))
+                waiting += len(held[-1][1])
+                if waiting >= CHUNK:
+                    score()
+                    waiting = 0
+        if held:
+            score()
         return total
 
-    def predict(self, text: str | None) -> tuple[str, float]:
-        """The language of the shortest code, and its probability if all were equally likely before."""
-        if not text or not self.languages or not has_letter(text):
-            return UNKNOWN, 0.0
-        bits = self.lengths(text)
-        best = int(np.argmin(bits))
-        return self.languages[best], float(1 / np.exp2(np.minimum(bits[best] - bits, 0)).sum())
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """Of each text the language of the shortest code, and its probability if all were equally likely before."""
+        out = [(UNKNOWN, 0.0)] * len(texts)
+        known = [i for i, text in enumerate(texts) if text and self.languages and has_letter(text)]
+        for i, bits in zip(known, self.lengths([texts[i] for i in known]), strict=True):
+            best = int(np.argmin(bits))
+            out[i] = self.languages[best], float(1 / np.exp2(np.minimum(bits[best] - bits, 0)).sum())
+        return out
 
 
 def code_lengths(codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """-log2 of the probability of each symbol in each context of ORDER symbols, under frozen counts.
-
-    A context that was seen T times before U different symbols gives a seen symbol count / (T + U) and escapes with
-    U / (T + U) to the context one byte shorter, where symbols it has seen itself are left out. Below the empty context
-    all symbols are alike. What has no counts at all escapes for sure. The probabilities of a context add up to 1.
-    """
-    below = np.full(SYMBOLS, 1 / SYMBOLS)
-    for order in range(ORDER + 1):
-        shape = (SYMBOLS**order, SYMBOLS)
-        seen = np.bincount(codes % SYMBOLS ** (order + 1), weights=counts, minlength=SYMBOLS ** (order + 1)).reshape(shape)
-        # below holds a row for each shorter context; a longer one has it as its ending
-        shorter = np.tile(below.reshape(-1, SYMBOLS), (SYMBOLS if order else 1, 1))
-        known = seen > 0
-        total, kinds = seen.sum(1, keepdims=True), known.sum(1, keepdims=True)
-        shorter[known] = 0
-        rest = shorter.sum(1, keepdims=True)
-        escape = np.where(rest > 0, kinds, 0)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            share = np.where(total > 0, escape / (total + escape), 1.0)
-            below = np.where(known, seen / (total + escape), share * shorter / np.where(rest > 0, rest, 1))
-    return -np.log2(below, dtype=np.float64).astype(np.float32).reshape(-1)
+    """Contexts.bits() of all windows over the small alphabet."""
+    return Contexts(codes, counts, SYMBOLS).bits(np.arange(SYMBOLS ** (ORDER + 1))).astype(np.float32)
 
 
 def train(docs: DataFrame, docs_per_language: int = 400, most_languages: int = 64, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
@@ -122,22 +168,8 @@ def train(docs: DataFrame, docs_per_language: int = 400, most_languages: int = 6
 
 
 def model_from(languages: list[str], counted: list[tuple[np.ndarray, np.ndarray]]) -> Model:
-    """The most frequent bytes get symbols of their own (each language has the same say); counts are carried over to symbols."""
-    often = np.zeros(256)
-    for codes, counts in counted:
-        often += np.bincount(codes & np.uint32(255), weights=counts, minlength=256) / max(1.0, counts.sum())
-    order = [int(b) for b in np.argsort(-often, kind="stable") if often[b] > 0 or b == 32][: SYMBOLS - 1]
-    symbol = np.full(256, SYMBOLS - 1, np.uint8)
-    symbol[order] = np.arange(len(order), dtype=np.uint8)
-    codes, counts = [], []
-    for c, n in counted:
-        own = np.zeros(len(c), np.int64)
-        for k in range(ORDER, -1, -1):
-            own = own * SYMBOLS + symbol[(c >> np.uint32(8 * k)) & np.uint32(255)]
-        kinds, place = np.unique(own, return_inverse=True)
-        codes.append(kinds)
-        counts.append(np.bincount(place, weights=n, minlength=len(kinds)))
-    return Model(languages, symbol, codes, counts)
+    """The model of windows and their counts, a pair for each language."""
+    return Model(languages, np.arange(BYTES, dtype=np.uint8), [c for c, _ in counted], [n for _, n in counted])
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -152,7 +184,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            found = [model.predict(x.as_py()) for x in batch.column("text")]
+            found = model.predict(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("held_out"), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())],
                 names=["doc_id", "held_out", "lang_pred", "score"],

@@ -78,3 +78,18 @@ def test_held_out_accuracy(fixture_table):
     assert len(own) > 250
     assert (own["lang_pred"] == own["doc_id"].map(truth)).mean() > 0.98
     assert got["score"].between(0, 1).all()
+
+
+def test_each_byte_has_a_code_length_of_its_own():
+    letters = "abcdefghijklmnopqrstuvwxyzäöüßéèêàçñ" * 40
+    texts = {"latin": letters, "greek": "αβγδεζηθικλμνξοπρστυφχψω" * 20, "ru": "это было бы хорошо " * 9, "uk": "це було б добре її " * 9, "ja": "これは日本語の文章です" * 9, "zh": "这是一个中文的句子" * 9}
+    counted = [np.unique(windows(plain(t)), return_counts=True) for t in texts.values()]
+    model = model_from(list(texts), [(c, n.astype(float)) for c, n in counted])
+    for contexts in model.contexts:
+        for history in (b"abc", b"\xd1\x8b\xd0", b"\x00\xff\xfe", b"\xe3\x81\xae"):
+            ways = int.from_bytes(history, "big") * 256 + np.arange(256)
+            assert np.exp2(-contexts.bits(ways)).sum() == pytest.approx(1, abs=1e-9)
+    first = int.from_bytes("бы".encode()[:3], "big") * 256
+    assert len(set(model.contexts[2].bits(first + np.array([0x8B, 0xB8, 0x00])).round(6))) > 1
+    found = model.predict([*texts.values(), "її", "ы", "の", None])
+    assert [f[0] for f in found] == [*texts, "uk", "ru", "ja", "und"]
