@@ -146,15 +146,18 @@ def code_lengths(codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return Contexts(codes, counts, SYMBOLS).bits(np.arange(SYMBOLS ** (ORDER + 1))).astype(np.float32)
 
 
-def train(docs: DataFrame, docs_per_language: int = 400, most_languages: int = 64, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
+def train(docs: DataFrame, docs_per_language: int = 400, most_languages: int = 1000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Learn from the text and lang of documents that aren't held out.
 
-    At most docs_per_language documents of each of the most_languages most frequent languages are read, chosen by hash;
+    Every language has a model; more than most_languages of them raise an error, as the driver holds their counts.
+    At most docs_per_language documents of each are read, chosen by hash;
     their windows of bytes are counted on the executors, and only the counts reach the driver.
     """
     known = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
-    languages = sorted(r[0] for r in known.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(most_languages).collect())
-    chosen = sampled_ids(known.filter(F.col(lang_col).isin(languages)), lang_col, docs_per_language, id_col)
+    languages = sorted(r[0] for r in known.select(lang_col).distinct().limit(most_languages + 1).collect())
+    if len(languages) > most_languages:
+        raise ValueError(f"more than {most_languages} languages")
+    chosen = sampled_ids(known, lang_col, docs_per_language, id_col)
     rows = known.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("class"), F.col(text_col).alias("text")).join(F.broadcast(chosen), ["doc_id", "class"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,7 +167,8 @@ def train(docs: DataFrame, docs_per_language: int = 400, most_languages: int = 6
                 yield pa.RecordBatch.from_arrays([pa.array([language] * len(codes), pa.string()), pa.array(codes.astype(np.int64)), pa.array(counts)], names=["class", "code", "n"])
 
     counted = rows.select("class", "text").mapInArrow(count, "class string, code long, n long").groupBy("class", "code").agg(F.sum("n").alias("n")).toPandas()
-    return model_from(languages, [(counted["code"][counted["class"] == x].to_numpy(np.uint32), counted["n"][counted["class"] == x].to_numpy(np.float64)) for x in languages])
+    of = {x: (own["code"].to_numpy(np.uint32), own["n"].to_numpy(np.float64)) for x, own in counted.groupby("class")}
+    return model_from(languages, [of.get(x, (np.zeros(0, np.uint32), np.zeros(0))) for x in languages])
 
 
 def model_from(languages: list[str], counted: list[tuple[np.ndarray, np.ndarray]]) -> Model:

@@ -93,3 +93,14 @@ def test_each_byte_has_a_code_length_of_its_own():
     assert len(set(model.contexts[2].bits(first + np.array([0x8B, 0xB8, 0x00])).round(6))) > 1
     found = model.predict([*texts.values(), "її", "ы", "の", None])
     assert [f[0] for f in found] == [*texts, "uk", "ru", "ja", "und"]
+
+
+def test_every_language_is_learned(spark):
+    words = ["".join(chr(0x4E00 + 40 * k + j) for j in range(6)) for k in range(70)]
+    rows = [(i, words[i % 70], f"l{i % 70:02}") for i in range(700)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = train(docs)
+    assert model.languages == sorted({r[2] for r in rows})
+    assert [f[0] for f in model.predict(words)] == model.languages
+    with pytest.raises(ValueError, match="languages"):
+        train(docs, most_languages=69)
