@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,16 +43,17 @@ def verdict_of(rule: Column, rules: Sequence[tuple[str, str]]) -> Column:
     return reduce(lambda rest, r: F.when(rule == r[0], r[1]).otherwise(rest), rules, F.lit(None).cast("string"))
 
 
-def propagate(seeds: DataFrame, shares: DataFrame, damping: float, rounds: int) -> DataFrame:
+def propagate(seeds: DataFrame, shares: DataFrame, damping: float, rounds: int | None = None) -> DataFrame:
     """Personalised PageRank of each host as the sum of its series: seeds, what they pass on, what that passes on, ...
 
     seeds: host, mass. shares: from_host, to_host, share (of from_host's mass that to_host gets). Each round is a join and a sum
     that is combined before its shuffle; the join's hot hosts are split by the adaptive plan. A round's masses are
-    written, so that the next one starts from them. It ends when nothing of a unit or more is passed on.
+    written, so that the next one starts from them. It ends when nothing of a unit or more is
+    passed on, after some 116 rounds for a seed of full weight in a cycle, or after `rounds` if that is given.
     """
     wave = written(seeds.select("host", F.floor(F.col("mass") * F.lit(1 - damping)).cast("long").alias("mass")).filter("mass > 0"), "url-wave")
     waves = [wave]
-    for _ in range(rounds):
+    for _ in count() if rounds is None else range(rounds):
         passed = (
             wave.join(shares, wave.host == shares.from_host)
             .select(F.col("to_host").alias("host"), F.floor(F.col("mass") * F.lit(damping) * F.col("share")).cast("long").alias("mass"))
@@ -65,7 +67,7 @@ def propagate(seeds: DataFrame, shares: DataFrame, damping: float, rounds: int)
 
 
 def judge_urls(
-    pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, damping: float = 0.85, rounds: int = 20, least_distrust: float = 0.5,
+    pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, damping: float = 0.85, rounds: int | None = None, least_distrust: float = 0.5,
     id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
 ) -> DataFrame:
     """Allow or block each page: by the longest rule that fits its url, else by its host's standing in the link graph.

@@ -110,6 +110,17 @@ def test_many_linkers_of_a_blocked_host_are_blocked(spark):
     assert got == {i: "block" for i in range(1, 102)} | {200: "allow", 201: "block"}
 
 
+def test_distrust_runs_until_nothing_is_passed_on(spark):
+    seeds = spark.createDataFrame([("a", 1000)], "host string, mass long")
+    shares = spark.createDataFrame([("a", "b", 1.0), ("b", "a", 1.0)], "from_host string, to_host string, share double")
+    got = {r.host: r.mass for r in url_filter.propagate(seeds, shares, 0.85).collect()}
+    mass, want = 150, {"a": 0, "b": 0}
+    for k in range(99):
+        want["ab"[k % 2]] += mass
+        mass = int(mass * 0.85)
+    assert got == want and mass == 0
+
+
 def brute_top(rows, k=10):
     clean = [(i, np.floor(1024 * np.array(v, float)).astype(int)) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     out = set()
