@@ -75,7 +75,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_exact_dedup": exact_dedup.ORACLE,
         "op3_url_filter": url_filter.oracle(),
-        "op4_line_dedup": line_dedup.ORACLE,
+        "op4_line_dedup": line_dedup.oracle(),
         "op5_topk_search": topk_search.ORACLE,
         "op7_sharding": sharding.oracle(16),
         "op10_source_mixing": source_mixing.ORACLE,

@@ -67,6 +67,17 @@ def test_line_templates_leave_variable_fields_open(spark):
     assert got == {0: 0, 1: 1, 2: 1, 9: 0}
 
 
+def test_short_lines_can_have_a_variable_field(spark):
+    for base in ("posted by user {} today", "posted by user {} late today", "posted by our user {} late today"):
+        rows = [(i, base.format(name), "s") for i, name in enumerate(["al", "bo", "cy"])]
+        assert [r.n_dropped for r in line_dedup.dedup_lines(docs_of(spark, rows)).orderBy("row.doc_id").collect()] == [0, 1, 1]
+
+
+def test_a_template_of_one_document_does_not_hide_one_of_two(spark):
+    rows = [(1, "\n".join(f"the old list of {w} things to see" for w in ("red", "green", "blue")), "s"), (2, "the old list of red things to hear", "s")]
+    assert [r.n_dropped for r in line_dedup.dedup_lines(docs_of(spark, rows)).orderBy("row.doc_id").collect()] == [0, 1]
+
+
 def test_line_templates_with_values_that_recur(spark):
     base = "Posted by the {} in our {} on this lovely day for all readers of the old site"
     few = [(i, base.format(n, p), "s") for i, (n, p) in enumerate(itertools.product(["alice", "bob"], ["forum", "club"]))]
