@@ -15,6 +15,10 @@ from quern.llm.common import written
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 #: Masses are whole numbers, a seed of full weight being this many, so that sums don't depend on their order.
 UNIT = 10**9
+#: What runs along links, and what runs against them.
+TRUST, DISTRUST = 0, 1
+#: A wave up to this size is broadcast in a round's join.
+WAVE_BYTES = 1 << 24
 SPLIT = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 LINK = r"""(?i)href\s*=\s*["']?(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s<>]+)"""
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -43,27 +47,31 @@ def verdict_of(rule: Column, rules: Sequence[tuple[str, str]]) -> Column:
     return reduce(lambda rest, r: F.when(rule == r[0], r[1]).otherwise(rest), rules, F.lit(None).cast("string"))
 
 
-def propagate(seeds: DataFrame, shares: DataFrame, damping: float, rounds: int | None = None) -> DataFrame:
+def propagate(seeds: DataFrame, shares: DataFrame, damping: float, rounds: int | None = None, also: Sequence[str] = ()) -> DataFrame:
     """Personalised PageRank of each host as the sum of its series: seeds, what they pass on, what that passes on, ...
 
-    seeds: host, mass. shares: from_host, to_host, share (of from_host's mass that to_host gets). Each round is a join and a sum
-    that is combined before its shuffle; the join's hot hosts are split by the adaptive plan. A round's masses are
-    written, so that the next one starts from them. It ends when nothing of a unit or more is
-    passed on, after some 116 rounds for a seed of full weight in a cycle, or after `rounds` if that is given.
+    seeds: host, mass. shares: from_host, to_host, share (of from_host's mass that to_host gets). Columns named in `also`, which both tables have, keep
+    several graphs apart, so that one series of rounds serves them all. A host without links keeps what it gets and passes nothing on.
+
+    Each round is a join and a sum that is combined before its shuffle. A round's masses are written, so that the next one
+    starts from them and both sides of its join are plain exchanges, of which a hot host is split; a wave of at most WAVE_BYTES is
+    broadcast instead, so that the links stay where they are. It ends when nothing of a unit or more is passed on, after some 116
+    rounds for a seed of full weight in a cycle, or after `rounds` if that is given.
     """
-    wave = written(seeds.select("host", F.floor(F.col("mass") * F.lit(1 - damping)).cast("long").alias("mass")).filter("mass > 0"), "url-wave")
+    nodes = [*also, "host"]
+    wave = written(seeds.select(*nodes, F.floor(F.col("mass") * F.lit(1 - damping)).cast("long").alias("mass")).filter("mass > 0"), "url-wave")
     waves = [wave]
+    links = shares.select(*(F.col(c).alias(f"by_{c}") for c in also), "from_host", "to_host", "share")
     for _ in count() if rounds is None else range(rounds):
-        passed = (
-            wave.join(shares, wave.host == shares.from_host)
-            .select(F.col("to_host").alias("host"), F.floor(F.col("mass") * F.lit(damping) * F.col("share")).cast("long").alias("mass"))
-            .filter("mass > 0")
-        )
-        wave = written(passed.groupBy("host").agg(F.sum("mass").alias("mass")), "url-wave")
-        if wave.isEmpty():
+        size = wave.agg(F.coalesce(F.sum(F.octet_length("host") + 24), F.lit(0)).alias("bytes")).first().bytes
+        if not size:
             break
+        near = F.broadcast(wave) if size <= WAVE_BYTES else wave
+        met = links.join(near, reduce(Column.__and__, (F.col(f"by_{c}") == F.col(c) for c in also), F.col("from_host") == F.col("host")))
+        passed = met.select(*also, F.col("to_host").alias("host"), F.floor(F.col("mass") * F.lit(damping) * F.col("share")).cast("long").alias("mass")).filter("mass > 0")
+        wave = written(passed.groupBy(*nodes).agg(F.sum("mass").alias("mass")), "url-wave")
         waves.append(wave)
-    return reduce(DataFrame.unionByName, waves).groupBy("host").agg(F.sum("mass").alias("mass"))
+    return reduce(DataFrame.unionByName, waves).groupBy(*nodes).agg(F.sum("mass").alias("mass"))
 
 
 def judge_urls(
@@ -78,9 +86,13 @@ def judge_urls(
     of its own links that lead there, so that other hosts that link there too don't lessen it. A host is blocked when its
     distrust exceeds its trust and is at least `least_distrust` of what a wholly blocked host without links has; all others are allowed.
 
-    Null urls, or urls without ://, have an empty host and path, fit no rule and are allowed. Null html has no links.
-    Repeated rows are judged alike, each giving a row. Rules are a short list held in the plan. Urls, not pages' texts,
-    are what moves. Returns page_id, host, path, rule, verdict.
+    What reaches a host without links of its own (or, for distrust, a host that no page links to) is counted there and goes no further.
+
+    Null urls, or urls without ://, have an empty host and path, fit no rule and are allowed. Null or empty html has no links; html of any
+    length is read where it lies, once. Null ids are kept. Repeated rows are judged alike, each giving a row, and weigh in their host's parts
+    and links as often as they are there. Rules are a short list held in the plan; of rules of equal length, of which two can't fit one url,
+    none comes first. Hosts and paths, not pages' texts, are what moves. Other columns of pages are ignored, whatever their names. An empty table gives an
+    empty one. Returns page_id, host, path, rule, verdict.
     """
     host, path = host_and_path(F.col(url_col))
     judged = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"), F.col(html_col).alias("html"))
@@ -96,15 +108,19 @@ def judge_urls(
         .agg(F.count("*").alias("links"))
     )
     links = written(links, "url-links")
-    leaving = links.groupBy("source").agg(F.sum("links").alias("all_links"))
-    share = (F.col("links").cast("double") / F.col("all_links")).alias("share")
-    forward = written(links.join(leaving, "source").select(F.col("source").alias("from_host"), F.col("target").alias("to_host"), share), "url-shares")
-    backward = forward.select(F.col("to_host").alias("from_host"), F.col("from_host").alias("to_host"), "share")
+    leaving = written(links.groupBy("source").agg(F.sum("links").alias("all_links")), "url-leaving")
+    share = F.col("links").cast("double") / F.col("all_links")
+    ways = F.explode(F.array(  # trust runs forward, distrust backward
+        F.struct(F.lit(TRUST).alias("kind"), F.col("source").alias("from_host"), F.col("target").alias("to_host")),
+        F.struct(F.lit(DISTRUST).alias("kind"), F.col("target").alias("from_host"), F.col("source").alias("to_host")),
+    ))
+    shares = written(links.join(leaving, "source").select(ways.alias("way"), share.alias("share")).select("way.*", "share"), "url-shares")
 
     part = lambda verdict: F.floor(F.lit(float(UNIT)) * F.count_if(F.col("by_rule") == verdict) / F.count("*")).cast("long")
     hosts = written(urls.filter("host <> ''").groupBy("host").agg(part("allow").alias("trusted"), part("block").alias("blocked")), "url-hosts")
-    trust = propagate(hosts.select("host", F.col("trusted").alias("mass")), forward, damping, rounds)
-    distrust = propagate(hosts.select("host", F.col("blocked").alias("mass")), backward, damping, rounds)
+    each = F.explode(F.array(F.struct(F.lit(TRUST).alias("kind"), F.col("trusted").alias("mass")), F.struct(F.lit(DISTRUST).alias("kind"), F.col("blocked").alias("mass"))))
+    masses = written(propagate(hosts.select("host", each.alias("seed")).select("host", "seed.*"), shares, damping, rounds, ["kind"]), "url-masses")
+    trust, distrust = (masses.filter(F.col("kind") == kind).select("host", "mass") for kind in (TRUST, DISTRUST))
     least = int(least_distrust * (1 - damping) * UNIT)
     bad = (
         distrust.withColumnRenamed("mass", "distrust")
@@ -113,11 +129,12 @@ def judge_urls(
         .filter(F.col("distrust") > F.coalesce("trust", F.lit(0)))
         .select("host", F.lit("block").alias("by_graph"))
     )
+    bad = written(bad, "url-blocked")  # so that a host of very many pages is split in the join
     return urls.join(bad, "host", "left").select("page_id", "host", "path", "rule", F.coalesce("by_rule", "by_graph", F.lit("allow")).alias("verdict"))
 
 
-def oracle(rules: Sequence[tuple[str, str]] = RULES, damping: float = 0.85, rounds: int = 20, least_distrust: float = 0.5) -> str:
-    """DuckDB SQL for judge_urls(), its rounds written out one after the other."""
+def oracle(rules: Sequence[tuple[str, str]] = RULES, damping: float = 0.85, least_distrust: float = 0.5) -> str:
+    """DuckDB SQL for judge_urls(), its rounds as a recursive query."""
     fits = " ".join(
         f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '/{p}') THEN '{r}'" for r, _ in _longest_first(rules) for h, _, p in [r.partition("/")]
     )
@@ -125,13 +142,11 @@ def oracle(rules: Sequence[tuple[str, str]] = RULES, damping: float = 0.85, roun
     link = LINK.replace("'", "''")
 
     def series(name: str, seed: str, shares: str) -> list[str]:
-        out = [f"{name}0 AS (SELECT host, floor({seed} * (1 - {damping}::DOUBLE))::BIGINT AS mass FROM hosts)"]
-        for k in range(rounds):
-            out.append(
-                f"{name}{k + 1} AS MATERIALIZED (SELECT to_host AS host, sum(floor(mass * {damping}::DOUBLE * share)::BIGINT)::BIGINT AS mass FROM {name}{k} JOIN {shares} ON host = from_host WHERE mass > 0 GROUP BY 1)"
-            )
-        union = " UNION ALL ".join(f"SELECT * FROM {name}{k}" for k in range(rounds + 1))
-        return [*out, f"{name} AS (SELECT host, sum(mass) AS mass FROM ({union}) GROUP BY 1)"]
+        return [
+            f"""{name}_waves(round, host, mass) AS (SELECT 0, host, floor({seed} * (1 - {damping}::DOUBLE))::BIGINT FROM hosts
+          UNION ALL SELECT round + 1, to_host, sum(floor(mass * {damping}::DOUBLE * share)::BIGINT)::BIGINT FROM {name}_waves JOIN {shares} ON host = from_host WHERE mass > 0 GROUP BY ALL)""",
+            f"{name} AS (SELECT host, sum(mass) AS mass FROM {name}_waves GROUP BY 1)",
+        ]
 
     parts = [
         f"""cut AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '{SPLIT}', 1), '{UPPER}', '{LOWER}') AS host, regexp_extract(coalesce(url, ''), '{SPLIT}', 2) AS path,
@@ -139,11 +154,11 @@ def oracle(rules: Sequence[tuple[str, str]] = RULES, damping: float = 0.85, roun
         f"ruled AS (SELECT *, CASE {fits} END AS rule FROM cut)",
         f"urls AS MATERIALIZED (SELECT *, CASE {by_rule} END AS by_rule FROM ruled)",
         "links AS MATERIALIZED (SELECT host AS source, target, count(*) AS links FROM (SELECT host, unnest(targets) AS target FROM urls WHERE host <> '') WHERE host <> target GROUP BY 1, 2)",
-        "forward AS (SELECT source AS from_host, target AS to_host, links::DOUBLE / sum(links) OVER (PARTITION BY source) AS share FROM links)",
-        "backward AS (SELECT target AS from_host, source AS to_host, links::DOUBLE / sum(links) OVER (PARTITION BY target) AS share FROM links)",
+        "forward AS MATERIALIZED (SELECT source AS from_host, target AS to_host, links::DOUBLE / sum(links) OVER (PARTITION BY source) AS share FROM links)",
+        "backward AS MATERIALIZED (SELECT to_host AS from_host, from_host AS to_host, share FROM forward)",
         f"hosts AS MATERIALIZED (SELECT host, floor({float(UNIT)}::DOUBLE * count(*) FILTER (by_rule = 'allow') / count(*))::BIGINT AS trusted, floor({float(UNIT)}::DOUBLE * count(*) FILTER (by_rule = 'block') / count(*))::BIGINT AS blocked FROM urls WHERE host <> '' GROUP BY 1)",
         *series("trust", "trusted", "forward"),
         *series("distrust", "blocked", "backward"),
         f"bad AS (SELECT d.host FROM distrust d LEFT JOIN trust t USING (host) WHERE d.mass >= {int(least_distrust * (1 - damping) * UNIT)} AND d.mass > coalesce(t.mass, 0))",
     ]
-    return "WITH " + ",\n".join(parts) + "\nSELECT page_id, host, path, rule, coalesce(by_rule, CASE WHEN host IN (SELECT host FROM bad) THEN 'block' ELSE 'allow' END) AS verdict FROM urls"
+    return "WITH RECURSIVE " + ",\n".join(parts) + "\nSELECT page_id, host, path, rule, coalesce(by_rule, CASE WHEN host IN (SELECT host FROM bad) THEN 'block' ELSE 'allow' END) AS verdict FROM urls"

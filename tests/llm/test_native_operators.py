@@ -121,6 +121,56 @@ def test_many_linkers_of_a_blocked_host_are_blocked(spark):
     assert got == {i: "block" for i in range(1, 102)} | {200: "allow", 201: "block"}
 
 
+def _series(seeds, shares, damping):
+    """The plain power iteration in whole numbers: host to mass."""
+    wave, total = {h: int(m * (1 - damping)) for h, m in seeds.items()}, dict.fromkeys(seeds, 0)
+    while any(wave.values()):
+        for h, m in wave.items():
+            total[h] = total.get(h, 0) + m
+        then = {}
+        for a, b, share in shares:
+            if got := int(wave.get(a, 0) * damping * share):
+                then[b] = then.get(b, 0) + got
+        wave = then
+    return total
+
+
+@pytest.mark.parametrize("seed, wave_bytes", [(1, 1 << 24), (2, 0), (3, 1 << 24)])
+def test_random_graphs_against_plain_power_iteration(spark, monkeypatch, seed, wave_bytes):
+    import duckdb
+
+    monkeypatch.setattr(url_filter, "WAVE_BYTES", wave_bytes)
+    rng = np.random.default_rng(seed)
+    hosts = [f"h{k}.{('net', 'info', 'org', 'com')[k % 4]}" for k in range(24)]
+    pages, links, judged = [], {}, {}
+    for n in range(70):
+        host, path = hosts[rng.integers(24)], ("/", "/fr/x", "/en/")[rng.integers(3)]
+        targets = [hosts[k] for k in rng.integers(0, 24, rng.integers(0, 4))]
+        pages.append((n, f"http://{host}{path}", "".join(f'<a href="http://{t}/">x</a>' for t in targets)))
+        for t in {*targets} - {host}:
+            links[host, t] = links.get((host, t), 0) + 1
+        judged.setdefault(host, []).append("block" if host.endswith(".net") else "allow" if host.endswith(".org") and path == "/fr/x" else None)
+    leaving = {}
+    for (a, _), n in links.items():
+        leaving[a] = leaving.get(a, 0) + n
+    forward = [(a, b, n / leaving[a]) for (a, b), n in links.items()]
+    part = lambda verdict: {h: int(1e9 * own.count(verdict) / len(own)) for h, own in judged.items()}
+    trust, distrust = _series(part("allow"), forward, 0.85), _series(part("block"), [(b, a, s) for a, b, s in forward], 0.85)
+    bad = {h for h, m in distrust.items() if m >= int(0.5 * (1 - 0.85) * 1e9) and m > trust.get(h, 0)}
+    want = {n: "block" if ".net" in url else "allow" if ".org/fr/" in url or url.split("/")[2] not in bad else "block" for n, url, _ in pages}
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r.page_id: r.verdict for r in url_filter.judge_urls(frame).collect()}
+    assert got == want and any(v == "block" and ".net" not in pages[n][1] for n, v in want.items())
+
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?, ?)", pages)
+    assert {r[0]: r[4] for r in con.sql(url_filter.oracle()).select("page_id, host, path, rule, verdict").fetchall()} == want
+    shares = spark.createDataFrame(forward, "from_host string, to_host string, share double")
+    masses = url_filter.propagate(spark.createDataFrame(list(part("allow").items()), "host string, mass long"), shares, 0.85)
+    assert {r.host: r.mass for r in masses.collect()} == {h: m for h, m in trust.items() if m}
+
+
 def test_distrust_runs_until_nothing_is_passed_on(spark):
     seeds = spark.createDataFrame([("a", 1000)], "host string, mass long")
     shares = spark.createDataFrame([("a", "b", 1.0), ("b", "a", 1.0)], "from_host string, to_host string, share double")
