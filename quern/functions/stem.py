@@ -7,7 +7,7 @@ behind one of aeiou; so a letter's kind depends on what precedes it alone, and t
 from __future__ import annotations
 
 import re
-from functools import cache, lru_cache
+from functools import cache, lru_cache, reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -25,8 +25,8 @@ ADJECTIVAL = (("icate", "ic"), ("ative", ""), ("alize", "al"), ("iciti", "ic"),
 FINAL = ("al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ou", "ism", "ate", "iti", "ous", "ive", "ize")
 RULES = (("derived", DERIVED, 1), ("adjectival", ADJECTIVAL, 1), ("final", tuple((s, "") for s in FINAL), 2))
 
-#: Where a run of consonants begins the pattern has C, elsewhere in it c; vowels are 0, which no word has.
-CONSONANT_Y, VOWELS = r"^y|(?<=[aeiou])y", "aeiouy"
+#: In a pattern consonants are c and vowels 0; a 0 stands before them all, so that each 0c is where a run of consonants begins.
+CONSONANT_Y, VOWELS, CONSONANTS = r"^y|(?<=[aeiou])y", "aeiouy", "bcdfghjklmnpqrstvwxzY"
 
 
 # The steps are SQL text over the names of a word and of its pattern, which Spark parses at once; built call by call
@@ -34,8 +34,14 @@ CONSONANT_Y, VOWELS = r"^y|(?<=[aeiou])y", "aeiouy"
 
 
 def _pattern(word: str) -> str:
-    kinds = f"regexp_replace(translate(regexp_replace({word}, '{CONSONANT_Y}', 'Y'), '{VOWELS}', '{'0' * len(VOWELS)}'), '[^0]', 'c')"
-    return f"regexp_replace({kinds}, '(?<!c)c', 'C')"
+    marked = f"CASE WHEN contains({word}, 'y') THEN regexp_replace({word}, '{CONSONANT_Y}', 'Y') ELSE {word} END"
+    kinds = f"translate({marked}, '{VOWELS}{CONSONANTS}', '{'0' * len(VOWELS)}{'c' * len(CONSONANTS)}')"
+    return f"concat('0', CASE WHEN octet_length({word}) = char_length({word}) THEN {kinds} ELSE regexp_replace({kinds}, '[^0]', 'c') END)"
+
+
+def _pattern_after(now: str, was: str, pattern: str) -> str:
+    """The pattern of a word that was another one, whose pattern is given: that of a beginning is a beginning of it."""
+    return f"CASE WHEN {now} = {was} THEN {pattern} WHEN startswith({was}, {now}) THEN left({pattern}, 1 + char_length({now})) ELSE {_pattern(now)} END"
 
 
 def _before(word: str, suffix: int) -> str:
@@ -44,79 +50,85 @@ def _before(word: str, suffix: int) -> str:
 
 def _measure(pattern: str, suffix: int) -> str:
     own = _before(pattern, suffix)
-    return f"(char_length({own}) - char_length(replace({own}, 'C', '')))"
+    return f"(char_length({own}) - char_length(replace({own}, '0c', 'c')))"
 
 
 def _has_vowel(pattern: str, suffix: int) -> str:
-    return f"contains({_before(pattern, suffix)}, '0')"
+    return f"contains(substr({pattern}, 2, char_length({pattern}) - {suffix + 1}), '0')"
 
 
 def _ends(word: str, *suffixes: str) -> str:
     return "(" + " OR ".join(f"endswith({word}, '{s}')" for s in suffixes) + ")"
 
 
-def _first_rule(word: str, pattern: str, rules: tuple, least: int) -> str:
-    """The first rule that fits, measure included; a rule that fails its measure is passed over."""
+def _first_rule(word: str, pattern: str, rules: tuple, least: int, rest: str) -> str:
+    """The first rule that fits, measure included, else `rest`; a rule that fails its measure is passed over."""
     whens = (f"WHEN {_ends(word, s)} AND {_measure(pattern, len(s))} >= {least} THEN concat({_before(word, len(s))}, '{put}')" for s, put in rules)
-    return f"CASE {' '.join(whens)} ELSE {word} END"
+    return f"CASE {' '.join(whens)} ELSE {rest} END"
 
 
-def _plural(w: str, _: str) -> str:
-    return f"CASE WHEN {_ends(w, 'sses', 'ies')} THEN {_before(w, 2)} WHEN {_ends(w, 's')} AND NOT {_ends(w, 'ss')} THEN {_before(w, 1)} ELSE {w} END"
+def _plural(w: str, _: str, rest: str) -> str:
+    return f"CASE WHEN {_ends(w, 'sses', 'ies')} THEN {_before(w, 2)} WHEN {_ends(w, 's')} AND NOT {_ends(w, 'ss')} THEN {_before(w, 1)} ELSE {rest} END"
 
 
-def _past(w: str, p: str) -> str:
+def _past(w: str, p: str, rest: str) -> str:
     """Ends in a mark (a space, which no word has) where the verb ending went and the rest has to be mended."""
-    cut = lambda n: f"CASE WHEN {_has_vowel(p, n)} THEN concat({_before(w, n)}, ' ') ELSE {w} END"
-    eed = f"CASE WHEN {_measure(p, 3)} > 0 THEN {_before(w, 1)} ELSE {w} END"
-    return f"CASE WHEN {_ends(w, 'eed')} THEN {eed} WHEN {_ends(w, 'ed')} THEN {cut(2)} WHEN {_ends(w, 'ing')} THEN {cut(3)} ELSE {w} END"
+    cut = lambda n: f"CASE WHEN {_has_vowel(p, n)} THEN concat({_before(w, n)}, ' ') ELSE {rest} END"
+    eed = f"CASE WHEN {_measure(p, 3)} > 0 THEN {_before(w, 1)} ELSE {rest} END"
+    return f"CASE WHEN {_ends(w, 'eed')} THEN {eed} WHEN {_ends(w, 'ed')} THEN {cut(2)} WHEN {_ends(w, 'ing')} THEN {cut(3)} ELSE {rest} END"
 
 
-def _mend(w: str, _: str) -> str:
-    rest = f"rtrim({w})"
+def _mend(w: str, _: str, rest: str) -> str:
+    bare = f"rtrim({w})"
     doubled = r"r'([^aeioulsz])\1$'"
-    return f"CASE WHEN NOT endswith({w}, ' ') THEN {w} WHEN {rest} RLIKE '(at|bl|iz)$' THEN concat({rest}, 'e') WHEN {rest} RLIKE {doubled} THEN {_before(rest, 1)} ELSE {rest} END"
+    return f"CASE WHEN NOT endswith({w}, ' ') THEN {rest} WHEN {bare} RLIKE '(at|bl|iz)$' THEN concat({bare}, 'e') WHEN {bare} RLIKE {doubled} THEN {_before(bare, 1)} ELSE {bare} END"
 
 
-def _final_y(w: str, p: str) -> str:
-    return f"CASE WHEN {_ends(w, 'y')} AND {_has_vowel(p, 1)} THEN concat({_before(w, 1)}, 'i') ELSE {w} END"
+def _final_y(w: str, p: str, rest: str) -> str:
+    return f"CASE WHEN {_ends(w, 'y')} AND {_has_vowel(p, 1)} THEN concat({_before(w, 1)}, 'i') ELSE {rest} END"
 
 
-def _finals(w: str, p: str) -> str:
-    return f"CASE WHEN {w} RLIKE '[st]ion$' AND {_measure(p, 3)} > 1 THEN {_before(w, 3)} ELSE {_first_rule(w, p, *RULES[2][1:])} END"
+def _final_ion(w: str, p: str, rest: str) -> str:
+    return f"CASE WHEN {_ends(w, 'sion', 'tion')} AND {_measure(p, 3)} > 1 THEN {_before(w, 3)} ELSE {rest} END"
 
 
-def _final_e(w: str, p: str) -> str:
+def _final_e(w: str, p: str, rest: str) -> str:
     # What ends consonant, vowel, consonant has two runs of consonants, so one run is always enough.
-    return f"CASE WHEN {_ends(w, 'e')} AND {_measure(p, 1)} >= 1 THEN {_before(w, 1)} ELSE {w} END"
+    return f"CASE WHEN {_ends(w, 'e')} AND {_measure(p, 1)} >= 1 THEN {_before(w, 1)} ELSE {rest} END"
 
 
-def _final_l(w: str, p: str) -> str:
-    return f"CASE WHEN {_ends(w, 'll')} AND {_measure(p, 0)} > 1 THEN {_before(w, 1)} ELSE {w} END"
+def _final_l(w: str, p: str, rest: str) -> str:
+    return f"CASE WHEN {_ends(w, 'll')} AND {_measure(p, 0)} > 1 THEN {_before(w, 1)} ELSE {rest} END"
 
 
-def _table(number: int):  # noqa: ANN202
-    return lambda w, p: _first_rule(w, p, *RULES[number][1:])
+def _table(number: int, at_a_time: int = 5) -> list:
+    """A table's rules, a few at a time: methods of much more code than these make aren't compiled by the JVM, but interpreted."""
+    _, rules, least = RULES[number]
+    return [lambda w, p, rest, own=rules[n : n + at_a_time]: _first_rule(w, p, own, least, rest) for n in range(0, len(rules), at_a_time)]
 
 
-#: Each step, and whether it looks at the pattern.
-STEPS = ((_plural, False), (_past, True), (_mend, False), (_final_y, True), (_table(0), True), (_table(1), True), (_finals, True), (_final_e, True), (_final_l, True))
+#: Each step, as parts of which the first that fits changes the word, and whether it looks at the pattern.
+STEPS = (([_plural], False), ([_past], True), ([_mend], False), ([_final_y], True), (_table(0), True), (_table(1), True), ([_final_ion, *_table(2)], True), ([_final_e], True), ([_final_l], True))
 
 
 def with_stem(df: DataFrame, word: str, stem: str = "stem") -> DataFrame:
-    """df with the stem of a column of single words: a projection for each step, all within one stage of generated code.
+    """df with the stem of a column of single words: all within one stage of generated code.
 
-    Words of one or two characters are only lower-cased. The stem comes out of a generator of one element, through
-    which no later filter is pushed: pushed down, it would hold every step's expression many times over.
+    Words of one or two characters are only lower-cased. What each part of a step makes of a word comes out of a generator of
+    one element. Spark writes a method of its own for what follows a generator, and no later filter is pushed through one:
+    pushed down, it would hold every step's expression many times over.
     """
-    at, pattern, short = "stem_at", "stem_pattern", "stem_short"
+    at, was, pattern, short = "stem_at", "stem_was", "stem_pattern", "stem_short"
     others = [f"`{c}`" for c in df.columns if c != stem]
-    df = df.withColumn(at, F.lower(word)).selectExpr(*others, at, f"char_length({at}) <= 2 AS {short}")
-    for step, needs_pattern in STEPS:
+    df = df.withColumn(at, F.lower(word)).selectExpr(*others, at, f"{at} AS {was}", f"char_length({at}) <= 2 AS {short}", f"CAST(NULL AS string) AS {pattern}")
+    for parts, needs_pattern in STEPS:
         if needs_pattern:
-            df = df.selectExpr(*others, at, short, f"{_pattern(at)} AS {pattern}")
-        df = df.selectExpr(*others, f"CASE WHEN {short} THEN {at} ELSE {step(at, pattern)} END AS {at}", short)
-    return df.selectExpr(*others, f"explode(array({at})) AS {stem}")
+            now = f"CASE WHEN {short} THEN '' WHEN {pattern} IS NULL THEN {_pattern(at)} ELSE {_pattern_after(at, was, pattern)} END"
+            df = df.selectExpr(*others, at, f"{at} AS {was}", short, f"{now} AS {pattern}")
+        for n, part in enumerate(parts):
+            done = f"{short} OR {at} <> {was}" if n else short
+            df = df.selectExpr(*others, was, short, pattern, f"explode(array(CASE WHEN {done} THEN {at} ELSE {part(at, pattern, at)} END)) AS {at}")
+    return df.selectExpr(*others, f"{at} AS {stem}")
 
 
 @cache
@@ -127,8 +139,9 @@ def _stem_sql(word: str) -> str:
     def run(number: int, at: str) -> str:
         if number == len(STEPS):
             return at
-        step, needs_pattern = STEPS[number]
-        done = let(_pattern(at), f"p{number}", step(at, f"p{number}")) if needs_pattern else step(at, "")
+        parts, needs_pattern = STEPS[number]
+        step = reduce(lambda rest, part: part(at, f"p{number}", rest), reversed(parts), at)
+        done = let(_pattern(at), f"p{number}", step) if needs_pattern else step
         return let(done, f"w{number}", run(number + 1, f"w{number}"))
 
     return let(f"lower({word})", "w", f"CASE WHEN char_length(w) <= 2 THEN w ELSE {run(0, 'w')} END")

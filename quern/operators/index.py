@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, fields
 
 from pyspark import StorageLevel
@@ -81,18 +82,24 @@ def term_df(posted: DataFrame) -> DataFrame:
     return posted.groupBy("term").agg(F.count("*").alias("df"), F.count_if(F.col("title_tf") > 0).alias("title_df"))
 
 
-def lexeme_counts(docs: DataFrame) -> DataFrame:
-    """doc_id, term, n: stemmed lexemes of title and body together. Words with a joiner between them are one lexeme."""
-    raw = docs.repartition("doc_id").select("doc_id", F.expr(f"explode({X.raw_lexemes("concat_ws(' ', title, body)")}) AS lexeme"))
+def lexeme_counts(docs: DataFrame, posted: DataFrame) -> DataFrame:
+    """doc_id, term, n: stemmed lexemes of title and body together. Words with a joiner between them are one lexeme.
+
+    In a text without joiners they are its words, which the postings count; only texts with joiners are cut again.
+    """
+    text = "concat_ws(' ', title, body)"
+    odd = docs.filter(F.contains(F.expr(text), F.lit(X.JOINER)))
+    even = posted.filter(~F.contains("term", F.lit(X.JOINER))).join(odd.select("doc_id"), "doc_id", "left_anti")
+    raw = odd.repartition("doc_id").select("doc_id", F.expr(f"explode({X.raw_lexemes(text)}) AS lexeme"))
     plain = with_stem(raw, "lexeme", "term")
     # The stem of a lexeme with joiners goes part by part; the expression is evaluated for such lexemes alone.
     joined = F.when(F.contains(F.col("lexeme"), F.lit(X.JOINER)), F.get(lexeme_stems("array(lexeme)"), 0)).otherwise(F.col("term"))
-    return plain.select("doc_id", joined.alias("term")).filter("term <> ''").groupBy("doc_id", "term").agg(F.count("*").alias("n"))
+    counted = plain.select("doc_id", joined.alias("term")).filter("term <> ''").groupBy("doc_id", "term").agg(F.count("*").alias("n"))
+    return even.filter("term <> ''").select("doc_id", "term", (F.col("title_tf") + F.col("body_tf")).alias("n")).unionByName(counted)
 
 
-def doc_vectors(docs: DataFrame, df: DataFrame, corpus: DataFrame) -> DataFrame:
+def doc_vectors(counted: DataFrame, df: DataFrame, corpus: DataFrame) -> DataFrame:
     """doc_id, term, weight, norm: augmented frequency times ln(documents / df), and the length of the document's vector."""
-    counted = lexeme_counts(docs)
     most = F.max("n").over(Window.partitionBy("doc_id"))
     scaled = counted.withColumn("most", most)
     total = F.broadcast(corpus.select(F.col("total_docs")))  # one row
@@ -103,36 +110,55 @@ def doc_vectors(docs: DataFrame, df: DataFrame, corpus: DataFrame) -> DataFrame:
     return weighed.join(norms, "doc_id")
 
 
-def completions(docs: DataFrame) -> DataFrame:
-    """term, weight: whole titles at FULL_TITLE_WEIGHT, stems of title words by how often they occur; the larger weight counts."""
+def title_terms(docs: DataFrame) -> DataFrame:
+    """term, whole (whether it is a whole title), words (how often it is the stem of a title's word): what completions are weighed by."""
     titles = docs.select(X.collapse(F.col("title")).alias("title")).filter(X.long_enough(F.col("title")))
-    whole = titles.select(F.lower("title").alias("term"), F.lit(FULL_TITLE_WEIGHT).cast("long").alias("weight"))
+    whole = titles.select(F.lower("title").alias("term"), F.lit(True).alias("whole"), F.lit(0).alias("words"))
     word = docs.select(F.explode(F.filter(X.fragments(F.col("title")), X.long_enough)).alias("word"))
-    counted = with_stem(word, "word", "term").groupBy("term").agg((F.count("*") * TITLE_WORD_WEIGHT).alias("weight"))
-    return whole.unionByName(counted).groupBy("term").agg(F.max("weight").alias("weight"))
+    counted = with_stem(word, "word", "term").select("term", F.lit(False).alias("whole"), F.lit(1).alias("words"))
+    return whole.unionByName(counted).groupBy("term").agg(F.max("whole").alias("whole"), F.sum("words").alias("words"))
+
+
+def completions(titles: DataFrame) -> DataFrame:
+    """term, weight: whole titles at FULL_TITLE_WEIGHT, stems of title words by how often they occur; the larger weight counts."""
+    added = titles.groupBy("term").agg(F.max("whole").alias("whole"), F.sum("words").alias("words"))
+    full = F.when(F.col("whole"), FULL_TITLE_WEIGHT).otherwise(0)
+    return added.select("term", F.greatest(full, F.col("words") * TITLE_WORD_WEIGHT).cast("long").alias("weight"))
 
 
 def vocab_trigrams(df: DataFrame) -> DataFrame:
-    """trigram, term, n_trigrams, n_repeats: a row for each of the term's character trigrams, repeats kept."""
+    """trigram, term, n_trigrams, n_repeats, again: a row for each different character trigram of a term; again lists those that repeat an earlier one, null if none does."""
     whole = df.select("term", F.explode(F.array(X.char_trigrams(F.col("term")))).alias("all"))  # a generator, so that they are made once
-    size = F.size("all")
-    return whole.select("term", "all", size.alias("n_trigrams"), (size - F.size(F.array_distinct("all"))).alias("n_repeats")).select(
-        F.explode("all").alias("trigram"), "term", "n_trigrams", "n_repeats"
-    )
+    kinds = whole.select("term", "all", F.explode(F.array(F.array_distinct("all"))).alias("kinds"))
+    repeats = F.col("n_trigrams") - F.size("kinds")
+    again = F.when(F.size("all") > F.size("kinds"), F.filter("all", lambda t, i: F.array_position("all", t) <= i))
+    each = kinds.select("term", F.size("all").alias("n_trigrams"), "kinds", F.explode(F.array(again)).alias("again"))
+    return each.select("term", "n_trigrams", repeats.cast("int").alias("n_repeats"), "again", F.explode("kinds").alias("trigram")).select("trigram", "term", "n_trigrams", "n_repeats", "again")
+
+
+def trigram_counts(trigrams: DataFrame) -> DataFrame:
+    """trigram, often: how many terms have it. No more rows than there are trigrams of letters."""
+    return trigrams.groupBy("trigram").agg(F.count("*").alias("often"))
 
 
 @dataclass
 class Index:
-    """The tables of an index. All but corpus grow with the corpus."""
+    """The tables of an index. All but corpus and trigram_counts grow with the corpus.
+
+    Those in BASE can be added up from those of its parts; the others follow from them.
+    """
 
     documents: DataFrame
     postings: DataFrame
     stats: DataFrame
-    corpus: DataFrame
+    counts: DataFrame
+    titles: DataFrame
     df: DataFrame
+    corpus: DataFrame
     vectors: DataFrame
     completions: DataFrame
     trigrams: DataFrame
+    trigram_counts: DataFrame
 
     @property
     def vocabulary(self) -> DataFrame:
@@ -141,17 +167,49 @@ class Index:
     def tables(self) -> dict[str, DataFrame]:
         return {f.name: getattr(self, f.name) for f in fields(self)}
 
-    def persist(self) -> Index:
-        """Keep the tables, on disk where memory does not hold them. The trigrams are many and cheap, so they are made from the vocabulary again."""
-        return Index(**{k: v if k == "trigrams" else v.persist(StorageLevel.MEMORY_AND_DISK) for k, v in self.tables().items()})
+    def unpersist(self) -> None:
+        for frame in self.tables().values():
+            frame.unpersist()
+
+
+#: What a part of an index holds; documents, written last, mark it as whole.
+BASE = ("postings", "stats", "counts", "titles", "df", "documents")
+
+
+def _as_they_are(_: str, df: DataFrame) -> DataFrame:
+    return df
+
+
+def base_tables(docs: DataFrame, keep: Callable[[str, DataFrame], DataFrame] = _as_they_are) -> dict[str, DataFrame]:
+    """The tables of BASE for some documents; keep(name, table) says how a table that others are made from is held."""
+    docs = keep("documents", as_documents(docs))
+    posted = keep("postings", postings(docs))
+    return {
+        "postings": posted, "stats": keep("stats", doc_stats(docs, posted)), "counts": keep("counts", lexeme_counts(docs, posted)),
+        "titles": keep("titles", title_terms(docs)), "df": keep("df", term_df(posted)), "documents": docs,
+    }
+
+
+def merged_df(parts: DataFrame) -> DataFrame:
+    """term, df, title_df over all parts of an index."""
+    return parts.groupBy("term").agg(F.sum("df").alias("df"), F.sum("title_df").alias("title_df"))
+
+
+def derived_tables(base: dict[str, DataFrame], keep: Callable[[str, DataFrame], DataFrame] = _as_they_are) -> Index:
+    """The whole index from its base tables, which may be unions of those of its parts, df apart: it has to be merged."""
+    corpus = keep("corpus", corpus_stats(base["stats"]))
+    trigrams = keep("trigrams", vocab_trigrams(base["df"]))
+    return Index(
+        **base, corpus=corpus, vectors=keep("vectors", doc_vectors(base["counts"], base["df"], corpus)), completions=keep("completions", completions(base["titles"])),
+        trigrams=trigrams, trigram_counts=keep("trigram_counts", trigram_counts(trigrams)),
+    )
 
 
 def build_index(docs: DataFrame, persist: bool = True) -> Index:
-    """All tables of the index. With persist, tables that others are made from are computed once."""
-    keep = (lambda d: d.persist(StorageLevel.MEMORY_AND_DISK)) if persist else (lambda d: d)
-    docs = keep(as_documents(docs))
-    posted = keep(postings(docs))
-    stats = keep(doc_stats(docs, posted))
-    corpus = keep(corpus_stats(stats))
-    df = keep(term_df(posted))
-    return Index(docs, posted, stats, corpus, df, keep(doc_vectors(docs, df, corpus)), keep(completions(docs)), vocab_trigrams(df))
+    """All tables of the index in memory or, with persist=False, as plans; an index on disk is built by sources.store."""
+    lazy = {"trigrams"}  # many and cheap, so they are made from the vocabulary again
+
+    def keep(name: str, df: DataFrame) -> DataFrame:
+        return df.persist(StorageLevel.MEMORY_AND_DISK) if persist and name not in lazy else df
+
+    return derived_tables(base_tables(docs, keep), keep)

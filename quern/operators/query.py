@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from quern.functions import text as X
 from quern.functions.stem import query_stems
 from quern.operators import typo
+from quern.sources.scratch import written
 
 NO_STRINGS = "array<string>"
 
@@ -135,17 +136,14 @@ def _each_token(tokens: DataFrame, restem: bool, name: str) -> DataFrame:
     return stemmed.select("qid", F.posexplode("lexemes").alias("pos", name))
 
 
-def fuzzy_terms(tokens: DataFrame, vocabulary: DataFrame, trigrams: DataFrame, restem: bool = True) -> DataFrame:
+def fuzzy_terms(tokens: DataFrame, vocabulary: DataFrame, trigrams: DataFrame, counts: DataFrame, restem: bool = True) -> DataFrame:
     """qid, tokens with each token that the vocabulary lacks replaced by the nearest term by trigrams, if one is near enough.
 
     Tokens are stemmed once more before they are looked up; restem=False leaves out this stemming and the
     ranker's, which can turn a token that is in the vocabulary into one that isn't.
     """
-    each = _each_token(tokens, restem, "token")
-    known = vocabulary.select(F.col("term").alias("known"))
-    marked = each.join(known, F.col("token") == F.col("known"), "left")
-    best = typo.trigram_best(marked.filter("known IS NULL").select("token").distinct(), trigrams).select("token", F.col("term").alias("better"))
-    chosen = marked.join(best, "token", "left").select("qid", F.struct("pos", F.coalesce("known", "better", "token").alias("token")).alias("t"))
+    each = written(_each_token(tokens, restem, "token"), "query-tokens")
+    chosen = typo.correct_tokens(each, vocabulary, trigrams, counts).select("qid", F.struct("pos", F.col("term").alias("token")).alias("t"))
     listed = chosen.groupBy("qid").agg(F.array_sort(F.collect_list("t")).alias("ts"))
     return tokens.select("qid").join(listed, "qid", "left").select("qid", F.coalesce(F.col("ts.token"), _empty()).alias("tokens"))
 

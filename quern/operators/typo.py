@@ -2,16 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions import text as X
+from quern.sources.scratch import written
 
 SPELL_THRESHOLD = 0.78
 TRIGRAM_THRESHOLD = 0.25
-#: Trigrams of misspelt words that are sent to every task, so that the vocabulary's stay where they are; under 100 MB.
-BROADCAST_ROWS = 200_000
+#: Higher thresholds that are tried before: a token that has enough terms at one of them needs no lower one.
+TRIGRAM_LEVELS = (0.5, 0.38)
+#: Rows about misspelt words that are sent to every task, so that the vocabulary stays where it is; under 100 MB.
+BROADCAST_ROWS = 1_000_000
+#: Terms that repeat more trigrams than this are compared by trigram alone.
+FEW_REPEATS = 3
+#: So few different trigrams asked for are a filter on the stored table, of which all other row groups stay unread.
+FILTERED_TRIGRAMS = 500
+
+
+def _near(df: DataFrame, rows: int) -> DataFrame:
+    """df, to be broadcast if it has no more than BROADCAST_ROWS; else both sides of its join meet by hash."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
 def similarity(a: Column, b: Column) -> Column:
@@ -33,6 +46,7 @@ def spell_candidates(needles: DataFrame, vocabulary: DataFrame, threshold: float
 
     A word at `most` edits or fewer has one of most + 1 pieces of the term unchanged, shifted by as many places
     at most. So terms are joined with needles on (length of the term, number of the piece, piece), not compared with all.
+    The needles' pieces are counted first: up to BROADCAST_ROWS they go to every task and no term moves.
     """
     edits = lambda n: F.floor(n / threshold * (1 - threshold) + 1e-9).cast("int")  # noqa: E731  of the longest word that can be this near
     term_length = F.char_length("term")
@@ -45,7 +59,8 @@ def spell_candidates(needles: DataFrame, vocabulary: DataFrame, threshold: float
     wanted = wanted.select("needle", "length", F.explode(_segments(F.col("needle"), F.col("length"), most)).alias("s"), most.alias("most"))
     begins = F.sequence(F.greatest(F.col("s.begin") - F.col("most"), F.lit(0)), F.col("s.begin") + F.col("most"))
     wanted = wanted.select("needle", "length", F.col("s.nth").alias("nth"), F.explode(F.transform(begins, lambda b: F.substring("needle", b + 1, F.col("s.size")))).alias("piece")).distinct()
-    return pieces.join(wanted, ["length", "nth", "piece"]).select("needle", "term").distinct()
+    wanted = written(wanted, "spell-pieces")
+    return pieces.join(_near(wanted, wanted.count()), ["length", "nth", "piece"]).select("needle", "term").distinct()
 
 
 def spell_correct(words: DataFrame, vocabulary: DataFrame, threshold: float = SPELL_THRESHOLD) -> DataFrame:
@@ -60,8 +75,48 @@ def spell_correct(words: DataFrame, vocabulary: DataFrame, threshold: float = SP
     return scored.groupBy("word", "stem").agg(best).select("word", "stem", "best.term", "best.sim")
 
 
-def trigram_scores(asked: DataFrame, trigrams: DataFrame, threshold: float = TRIGRAM_THRESHOLD) -> DataFrame:
-    """token, term, jaccard from the threshold on. asked: distinct tokens; trigrams: the vocabulary's, repeats kept.
+def _rarest_first(asked: DataFrame, counts: DataFrame) -> DataFrame:
+    """token, n_token, own_trigram, place, known: each token's trigrams that any term has, those of fewest terms first, and all of these.
+
+    Places begin behind the token's trigrams that no term has.
+    """
+    sets = asked.select("token", F.array_distinct(X.char_trigrams(F.col("token"))).alias("set"))
+    own = sets.select("token", F.size("set").alias("n_token"), F.explode("set").alias("trigram")).join(counts, "trigram")
+    listed = own.groupBy("token", "n_token").agg(F.array_sort(F.collect_list(F.struct("often", "trigram"))).alias("sorted"))
+    each = listed.select("token", "n_token", F.col("sorted.trigram").alias("known")).select("token", "n_token", "known", F.posexplode("known").alias("nth", "own_trigram"))
+    return each.select("token", "n_token", "own_trigram", (F.col("n_token") - F.size("known") + F.col("nth")).alias("place"), "known")
+
+
+def _scores(own: DataFrame, trigrams: DataFrame, threshold: float) -> DataFrame:
+    """token, term, jaccard from the threshold on; a pair may come more than once."""
+    share = threshold / (1 + threshold)
+    common = F.ceil(share * (F.col("n_token") + F.col("n_trigrams")) - 1e-6) - F.col("n_repeats")
+    near = F.col("place") <= F.col("n_token") - F.greatest(common, F.lit(1))
+    # Terms of few repeats, which almost all are, are met by trigram, length and repeats together: only by lengths that can be similar
+    # enough, and in places that are rare enough for them.
+    least = F.ceil(threshold * F.col("n_token") - 1e-6).cast("int")
+    most = F.floor((F.col("n_token") + (1 + threshold) * F.col("n_repeats")) / threshold + 1e-6).cast("int")
+    kinds = own.withColumn("n_repeats", F.explode(F.sequence(F.lit(0), F.lit(FEW_REPEATS)))).withColumn("n_trigrams", F.explode(F.sequence(least, most)))
+    kinds = written(kinds.filter(near).withColumnRenamed("own_trigram", "trigram"), "typo-kinds")
+    few = trigrams.filter(F.col("n_repeats") <= FEW_REPEATS).join(_near(kinds, kinds.count()), ["trigram", "n_trigrams", "n_repeats"])
+    many = trigrams.filter(F.col("n_repeats") > FEW_REPEATS).join(_near(own, own.count()), (F.col("trigram") == F.col("own_trigram")) & near)
+    row = ["token", "term", "n_token", "n_trigrams", "again", "known"]
+    met = few.select(row).unionByName(many.select(row)).select("*", F.explode(F.array(F.concat(F.lit("$"), F.col("term"), F.lit("$")))).alias("shown"))
+    once = F.size(F.filter("known", lambda t: F.contains(F.col("shown"), t)))
+    more = F.size(F.filter("again", lambda t: F.array_contains("known", t)))
+    counted = met.select("token", "term", "n_token", "n_trigrams", F.explode(F.array(F.when(F.col("again").isNull(), once).otherwise(once + more))).alias("both"))
+    jaccard = F.col("both") / (F.col("n_token") + F.col("n_trigrams") - F.col("both"))
+    return counted.select("token", "term", jaccard.alias("jaccard")).filter(F.col("jaccard") >= threshold)
+
+
+def _asked_for(own: DataFrame, trigrams: DataFrame) -> DataFrame:
+    """The stored table, read only where it holds the trigrams of `own`, if these are few."""
+    few = [r[0] for r in own.select("own_trigram").distinct().limit(FILTERED_TRIGRAMS + 1).collect()]
+    return trigrams.filter(F.col("trigram").isin(few)) if len(few) <= FILTERED_TRIGRAMS else trigrams
+
+
+def trigram_scores(asked: DataFrame, trigrams: DataFrame, counts: DataFrame, threshold: float = TRIGRAM_THRESHOLD) -> DataFrame:
+    """token, term, jaccard from the threshold on. asked: distinct tokens; trigrams: the vocabulary's, with how many terms each is in.
 
     The token's trigrams are a set, the term's a list: a trigram counts as often as the term has it, so the
     measure can exceed 1.
@@ -70,33 +125,44 @@ def trigram_scores(asked: DataFrame, trigrams: DataFrame, threshold: float = TRI
     term's repeats, so many of the token's trigrams are in the term; hence one of any q - that + 1 is. So a pair is
     looked at only if it meets in one of the token's rarest trigrams: few where the term is long. Those that no term has come before them all.
     """
-    sets = asked.select("token", F.array_distinct(X.char_trigrams(F.col("token"))).alias("set"))
-    own = sets.select("token", F.size("set").alias("n_token"), F.explode("set").alias("own_trigram"))
-    often = trigrams.groupBy("trigram").agg(F.count("*").alias("often"))
-    rarest = Window.partitionBy("token").orderBy("often", "own_trigram")
-    own = own.join(often, F.col("own_trigram") == F.col("trigram")).drop("trigram")
-    unseen = F.col("n_token") - F.count("*").over(Window.partitionBy("token"))
-    own = own.withColumn("place", unseen + F.row_number().over(rarest) - 1)
-    own = own.drop("often").persist(StorageLevel.MEMORY_AND_DISK)
-    if own.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:  # else both sides meet by hash
-        own = F.broadcast(own)
-    common = F.ceil(threshold / (1 + threshold) * (F.col("n_token") + F.col("n_trigrams")) - 1e-6) - F.col("n_repeats")
-    near = trigrams.join(own, (F.col("trigram") == F.col("own_trigram")) & (F.col("place") <= F.col("n_token") - F.greatest(common, F.lit(1))))
-    pairs = near.select("token", "term", "n_token", "n_trigrams").distinct()
-    # What the padded token contains are its trigrams.
-    both = F.size(F.filter(X.char_trigrams(F.col("term")), lambda t: F.contains(F.concat(F.lit("$"), F.col("token"), F.lit("$")), t)))
-    jaccard = F.col("both") / (F.col("n_token") + F.col("n_trigrams") - F.col("both"))
-    counted = pairs.select("token", "term", "n_token", "n_trigrams", F.explode(F.array(both)).alias("both"))  # once for each pair, behind the shuffle
-    return counted.select("token", "term", jaccard.alias("jaccard")).filter(F.col("jaccard") >= threshold)
+    own = written(_rarest_first(asked, counts), "typo-trigrams")
+    return _scores(own, _asked_for(own, trigrams), threshold).distinct()
 
 
-def trigram_best(asked: DataFrame, trigrams: DataFrame, threshold: float = TRIGRAM_THRESHOLD) -> DataFrame:
+def trigram_suggest(asked: DataFrame, trigrams: DataFrame, counts: DataFrame, threshold: float = TRIGRAM_THRESHOLD, limit: int = 5) -> DataFrame:
+    """token, rank, term, jaccard: the `limit` best terms of each token; ties to the smaller term.
+
+    The higher the threshold, the fewer of a token's trigrams have to be looked up, and these the rarest. So high ones are tried
+    first: a token with `limit` terms at one of them is done, since all others are less similar; the rest goes on to the next.
+    """
+    order = Window.partitionBy("token").orderBy(F.desc("jaccard"), "term")
+    own = written(_rarest_first(asked, counts), "typo-trigrams")
+    stored, found = _asked_for(own, trigrams), []
+    for level in [*(x for x in TRIGRAM_LEVELS if x > threshold), threshold]:
+        if own.isEmpty():
+            break
+        scored = _scores(own, stored, level)
+        scored = scored.groupBy("token", "term").agg(F.first("jaccard").alias("jaccard")) if limit > 1 else scored  # the first needs no telling apart
+        best = scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
+        best = written(best.withColumn("whole", F.count("*").over(Window.partitionBy("token")) >= limit), "typo-terms")
+        if level > threshold:
+            done = best.filter("whole")
+            own = written(own.join(done.select("token").distinct(), "token", "left_anti"), "typo-trigrams")
+            best = done
+        found.append(best.select("token", "rank", "term", "jaccard"))
+    empty = asked.select("token", F.lit(0).alias("rank"), F.col("token").alias("term"), F.lit(0.0).alias("jaccard")).limit(0)
+    return reduce(DataFrame.unionByName, found) if found else empty
+
+
+def trigram_best(asked: DataFrame, trigrams: DataFrame, counts: DataFrame, threshold: float = TRIGRAM_THRESHOLD) -> DataFrame:
     """token, term, jaccard: the best term of each token that has one; ties to the smaller term."""
-    best = F.min(F.struct((-F.col("jaccard")).alias("order"), "term", "jaccard")).alias("best")
-    return trigram_scores(asked, trigrams, threshold).groupBy("token").agg(best).select("token", "best.term", "best.jaccard")
+    return trigram_suggest(asked, trigrams, counts, threshold, 1).select("token", "term", "jaccard")
 
 
-def trigram_suggest(asked: DataFrame, trigrams: DataFrame, threshold: float = TRIGRAM_THRESHOLD, limit: int = 5) -> DataFrame:
-    """token, rank, term, jaccard: the `limit` best terms of each token."""
-    order = Window.partitionBy("token").orderBy(F.desc("jaccard"), "term")
-    return trigram_scores(asked, trigrams, threshold).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit).select("token", "rank", "term", "jaccard")
+def correct_tokens(tokens: DataFrame, vocabulary: DataFrame, trigrams: DataFrame, counts: DataFrame) -> DataFrame:
+    """tokens (with a column token) with term: the token if the vocabulary has it, else the nearest term by trigrams, else the token; corrected says which."""
+    known = vocabulary.select(F.col("term").alias("known"))
+    marked = tokens.join(known, F.col("token") == F.col("known"), "left")
+    best = trigram_best(marked.filter("known IS NULL").select("token").distinct(), trigrams, counts).select("token", F.col("term").alias("better"))
+    joined = marked.join(best, "token", "left")
+    return joined.select(*tokens.columns, F.coalesce("known", "better", "token").alias("term"), (F.col("known").isNull() & F.col("better").isNotNull()).alias("corrected"))

@@ -16,6 +16,7 @@ from quern.operators.snippet import snippet_column
 from quern.plans import engine
 from quern.plans.oracle import ORACLE
 from quern.sources import samples, store
+from quern.sources.scratch import written
 
 NOW = 1_704_067_200
 PREFIX = 3
@@ -40,7 +41,7 @@ def index_of(spark: SparkSession, sf_dir: str) -> I.Index:
     """Built once for a session and folder, and kept, as a running engine keeps its index."""
     key = spark.sparkContext.applicationId, sf_dir
     if key not in _held:
-        _held[key] = store.settled(I.build_index(documents(spark, sf_dir)))
+        _held[key] = store.scratch_index(documents(spark, sf_dir))
     return _held[key]
 
 
@@ -86,7 +87,7 @@ def asked(spark: SparkSession) -> DataFrame:
 def sample_index(spark: SparkSession) -> I.Index:
     key = spark.sparkContext.applicationId, "samples"
     if key not in _held:
-        _held[key] = store.settled(I.build_index(samples.sample_corpus(spark, NOW)))
+        _held[key] = store.scratch_index(samples.sample_corpus(spark, NOW))
     return _held[key]
 
 
@@ -96,7 +97,7 @@ def q_tokenise(spark, sf_dir):
 
 
 def q_lexemes(spark, sf_dir):
-    return I.lexeme_counts(documents(spark, sf_dir))
+    return index_of(spark, sf_dir).counts
 
 
 def q_word_stems(spark, sf_dir):
@@ -216,21 +217,31 @@ def q_p50(spark, sf_dir):
 
 
 def q_vocab_trigrams(spark, sf_dir):
-    # Repeats within a term are added up first, so that counting terms needs no second pass over all entries.
-    per_term = index_of(spark, sf_dir).trigrams.groupBy("trigram", "term").agg(F.count("*").alias("n"))
-    return per_term.groupBy("trigram").agg(F.sum("n").alias("entries"), F.count("*").alias("terms"))
+    times = 1 + F.coalesce(F.size(F.filter("again", lambda t: t == F.col("trigram"))), F.lit(0))
+    return index_of(spark, sf_dir).trigrams.select("trigram", times.alias("times")).groupBy("trigram").agg(F.sum("times").alias("entries"), F.count("*").alias("terms"))
 
 
 def q_trigram_best(spark, sf_dir):
-    best = typo.trigram_best(misspelt(spark, sf_dir).select(F.col("stem").alias("token")).distinct(), index_of(spark, sf_dir).trigrams)
+    held = index_of(spark, sf_dir)
+    best = typo.trigram_best(misspelt(spark, sf_dir).select(F.col("stem").alias("token")).distinct(), held.trigrams, held.trigram_counts)
     return best.select("token", "term", F.round("jaccard", 6).alias("jaccard"))
 
 
 def q_trigram_suggest(spark, sf_dir):
-    found = typo.trigram_suggest(misspelt(spark, sf_dir).select(F.col("stem").alias("token")).distinct(), index_of(spark, sf_dir).trigrams)
+    held = index_of(spark, sf_dir)
+    found = typo.trigram_suggest(misspelt(spark, sf_dir).select(F.col("stem").alias("token")).distinct(), held.trigrams, held.trigram_counts)
     return found.select("token", "rank", "term", F.round("jaccard", 6).alias("jaccard"))
 
 
+def q_correct_query(spark, sf_dir):
+    """Each text of the workload, every fourth word with its third letter dropped, and what its words become."""
+    held = index_of(spark, sf_dir)
+    typed = workload(spark, sf_dir).select("qid", F.posexplode(X.words(F.col("raw"))).alias("pos", "w"))
+    slip = F.when((F.col("pos") % 4 == 0) & (F.char_length("w") >= 5), F.concat(F.left("w", F.lit(2)), F.substr("w", F.lit(4)))).otherwise(F.col("w"))
+    tokens = with_stem(typed.select("qid", "pos", slip.alias("word")), "word", "token").select("qid", "pos", "token")
+    return typo.correct_tokens(written(tokens, "typed"), held.vocabulary, held.trigrams, held.trigram_counts)
+
+
 def q_spell_correct(spark, sf_dir):
     found = typo.spell_correct(misspelt(spark, sf_dir), index_of(spark, sf_dir).vocabulary)
     return found.select("word", "stem", "term", F.round("sim", 6).alias("sim"))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import resource
+import os
 import time
 from collections import deque
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -13,15 +13,15 @@ from pyspark.sql import functions as F
 
 from quern.operators import lexicon, query, rank
 from quern.operators import suggest as suggesting
-from quern.operators.index import Index, build_index
+from quern.operators.index import Index
 from quern.operators.snippet import snippet_column
 from quern.sources import store
+from quern.sources.scratch import Scope, scratch_path, written
 
 LIMIT, BLEND, LEAST_BLEND, SUGGESTIONS, KEPT_LATENCIES = 10, 0.4, 0.01, 6, 50
 SCORE_DECIMALS = 5
 
 
-
 def statistics(index: Index) -> DataFrame:
     """One row: total_docs, vocab_size, title_vocab_size, avg_title_length, avg_body_length."""
     terms = index.df.agg(F.count("*").alias("vocab_size"), F.count_if(F.col("title_df") > 0).alias("title_vocab_size"))
@@ -44,16 +44,16 @@ def latest_median(log: DataFrame, order: str, value: str, last: int = KEPT_LATEN
 
 def rank_queries(
     index: Index, queries: DataFrame, phrases: Sequence[str], synonyms: DataFrame, now: int,
-    limit: int = LIMIT, typo_tolerance: bool = True, semantic_blend: float = BLEND, restem: bool = True,
+    limit: int = LIMIT, typo_tolerance: bool = True, semantic_blend: float = BLEND, restem: bool = True, hold: Callable[[DataFrame], DataFrame] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """(processed queries, ranked hits: qid, doc_id, score, rank, matched_terms)."""
-    processed = query.process_queries(queries, index.vocabulary, phrases, synonyms)
-    processed = processed.persist(StorageLevel.MEMORY_AND_DISK)
+    """(processed queries, ranked hits: qid, doc_id, score, rank, matched_terms). hold says how what is read more than once is held; else in memory, for good."""
+    hold = hold or (lambda df: df.persist(StorageLevel.MEMORY_AND_DISK))
+    processed = hold(query.process_queries(queries, index.vocabulary, phrases, synonyms))
     tokens = processed.select("qid", "tokens")
     if typo_tolerance:
-        tokens = query.fuzzy_terms(tokens, index.vocabulary, index.trigrams, restem)
-    terms = query.final_terms(tokens, restem).persist(StorageLevel.MEMORY_AND_DISK)
-    hits = rank.bm25(terms, index.postings, index.df, index.stats, index.corpus, now, 2 * limit).persist(StorageLevel.MEMORY_AND_DISK)
+        tokens = query.fuzzy_terms(tokens, index.vocabulary, index.trigrams, index.trigram_counts, restem)
+    terms = hold(query.final_terms(tokens, restem))
+    hits = hold(rank.bm25(terms, index.postings, index.df, index.stats, index.corpus, now, 2 * limit))
     blend = min(max(semantic_blend, 0.0), 1.0)
     if semantic_blend > LEAST_BLEND:
         similar = rank.cosine(rank.query_vectors(terms, index.df, index.corpus), index.vectors)  # its shuffle is reused, so nothing is kept
@@ -79,16 +79,27 @@ class SearchEngine:
         synonyms: Mapping[str, Sequence[str]] | None = None,
     ) -> None:
         self.spark, self.path = spark, path
-        self.held = index or (store.load_or_new(spark, path) if path else build_index(spark.createDataFrame([], store.DOCUMENTS), persist=False))
+        self._index = index
+        if index is None:
+            self.path = path or scratch_path(spark, "index")
+            self._index = store.load_or_new(spark, self.path)
         self.phrases = lexicon.phrase_terms(lexicon.default_phrases() if phrases is None else phrases)
         pairs = lexicon.synonym_pairs(lexicon.default_synonyms() if synonyms is None else synonyms)
         self.synonyms = spark.createDataFrame(pairs, "stem string, synonym string")
         self.latencies: deque[int] = deque(maxlen=KEPT_LATENCIES)
 
+    @property
+    def held(self) -> Index:
+        """The index; what follows from all documents is made anew when it is first read after some were added."""
+        if self._index is None:
+            self._index = store.load(self.spark, self.path)
+        return self._index
+
     def search(self, queries: DataFrame, now: int | None = None, limit: int = LIMIT, typo_tolerance: bool = True, semantic_blend: float = BLEND, restem: bool = True) -> DataFrame:
-        """qid, rank, doc_id, title, score, snippet of the best documents for each query."""
-        _, ranked = rank_queries(self.held, queries, self.phrases, self.synonyms, self._now(now), limit, typo_tolerance, semantic_blend, restem)
-        return search_results(self.held, ranked)
+        """qid, rank, doc_id, title, score, snippet of the best documents for each query, as a finished table; all else that was made for it is released."""
+        with Scope() as scope:
+            _, ranked = rank_queries(self.held, queries, self.phrases, self.synonyms, self._now(now), limit, typo_tolerance, semantic_blend, restem, scope.hold)
+            return scope.kept(search_results(self.held, ranked), "results")
 
     def process(self, queries: DataFrame) -> DataFrame:
         return query.process_queries(queries, self.held.vocabulary, self.phrases, self.synonyms)
@@ -98,9 +109,10 @@ class SearchEngine:
         began = time.perf_counter()
         one = self.spark.createDataFrame([(0, raw)], "qid long, raw string")
         options = {"now": None, **options}
-        processed, ranked = rank_queries(self.held, one, self.phrases, self.synonyms, self._now(options.pop("now")), **options)
-        results = [r.asDict() for r in search_results(self.held, ranked).orderBy("rank").drop("qid", "rank").collect()]
-        row = processed.first()
+        with Scope() as scope:
+            processed, ranked = rank_queries(self.held, one, self.phrases, self.synonyms, self._now(options.pop("now")), **options, hold=scope.hold)
+            results = [r.asDict() for r in search_results(self.held, ranked).orderBy("rank").drop("qid", "rank").collect()]
+            row = processed.first()
         took = round((time.perf_counter() - began) * 1e6)
         self.latencies.append(took)
         return {
@@ -111,14 +123,22 @@ class SearchEngine:
     def suggest(self, inputs: DataFrame, limit: int = SUGGESTIONS) -> DataFrame:
         return suggesting.suggest(inputs, self.held.completions, limit)
 
-    def index(self, docs: DataFrame, now: int | None = None) -> list[int]:
-        """Add documents (title, body and perhaps created_at); returns the new ids, which follow the largest one."""
-        added, ids = number_documents(docs, self.held.documents, self._now(now))
-        self.held = build_index(self.held.documents.unionByName(added))
-        if self.path:
+    def index(self, docs: DataFrame, now: int | None = None, batch: str = "") -> DataFrame:
+        """Add documents (title, body and perhaps created_at); returns their ids (doc_id), which follow the largest one.
+
+        They become a part of the index of their own, so this costs what they are worth, however large the index is. A batch
+        ("stream.number") that was added before isn't added again, and has no new ids.
+        """
+        if self.path is None:  # held in memory until now
+            self.path = scratch_path(self.spark, "index")
             store.save(self.held, self.path)
-            self.held = store.load(self.spark, self.path)
-        return ids
+        if store.has_batch(self.spark, self.path, batch):
+            return self.spark.createDataFrame([], "doc_id long")
+        first = store.next_id(self.spark, self.path)
+        added, total = number_documents(docs, first, self._now(now))
+        store.add(added, self.path, first + total, batch)
+        self._index = None
+        return self.spark.range(first, first + total).select(F.col("id").alias("doc_id"))
 
     def stats(self) -> DataFrame:
         return statistics(self.held)
@@ -126,7 +146,7 @@ class SearchEngine:
     def health(self) -> dict:
         counts = self.stats().first()
         return {
-            "status": "ok", "rss_mb": round(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / 1024, 2), "total_docs": counts.total_docs,
+            "status": "ok", "rss_mb": self._rss_mb(), "total_docs": counts.total_docs,
             "p50_latency_us": upper_median(self.latencies), "vocab_size": counts.vocab_size,
         }
 
@@ -134,13 +154,20 @@ class SearchEngine:
     def _now(now: int | None) -> int:
         return int(time.time()) if now is None else now
 
+    def _rss_mb(self) -> float:
+        """Memory that the driver holds now: its Python process and its JVM."""
+        pages = 0
+        for pid in {os.getpid(), self.spark._jvm.java.lang.ProcessHandle.current().pid()}:
+            with open(f"/proc/{pid}/statm") as file:
+                pages += int(file.read().split()[1])
+        return round(pages * os.sysconf("SC_PAGE_SIZE") / 2**20, 2)
+
 
-def number_documents(docs: DataFrame, existing: DataFrame, now: int) -> tuple[DataFrame, list[int]]:
-    """docs with ids after the largest existing one, and these ids. The order of a batch is that of its rows."""
+def number_documents(docs: DataFrame, first: int, now: int) -> tuple[DataFrame, int]:
+    """docs with ids from `first` on, and how many they are. The order of a batch is that of its rows."""
     spark = docs.sparkSession
-    first = existing.agg(F.coalesce(F.max("doc_id") + 1, F.lit(0)).alias("n")).first().n
     created = F.coalesce(F.col("created_at").cast("long"), F.lit(now)) if "created_at" in docs.columns else F.lit(now)
-    rows = docs.select("title", "body", created.cast("long").alias("created_at"), F.monotonically_increasing_id().alias("row")).persist(StorageLevel.MEMORY_AND_DISK)
+    rows = written(docs.select("title", "body", created.cast("long").alias("created_at"), F.monotonically_increasing_id().alias("row")), "arrived")
     part = F.shiftright("row", 33)
     counts = [(r.part, r.n) for r in rows.groupBy(part.alias("part")).agg(F.count("*").alias("n")).orderBy("part").collect()]
     starts, total = [], 0
@@ -148,5 +175,4 @@ def number_documents(docs: DataFrame, existing: DataFrame, now: int) -> tuple[Da
         starts.append((p, first + total))
         total += n
     placed = rows.withColumn("part", part).join(F.broadcast(spark.createDataFrame(starts, "part long, start long")), "part")
-    numbered = placed.select((F.col("start") + F.col("row").bitwiseAND((1 << 33) - 1)).alias("doc_id"), "title", "body", "created_at")
-    return numbered, list(range(first, first + total))
+    return placed.select((F.col("start") + F.col("row").bitwiseAND((1 << 33) - 1)).alias("doc_id"), "title", "body", "created_at"), total

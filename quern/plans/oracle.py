@@ -131,14 +131,15 @@ m_bad AS MATERIALIZED (SELECT DISTINCT left(w, 2) || substr(w, 4) AS word FROM m
 {stem_ctes("SELECT word FROM m_bad", "m_stems")},
 bad AS MATERIALIZED (SELECT word, stem FROM m_stems)"""
 
-TRIGRAMS = f"""{STATS},{MISSPELT},
-own AS MATERIALIZED (SELECT DISTINCT stem AS token, unnest(list_distinct(list_transform(range(1, length(stem) + 1), lambda i: substr('$' || stem || '$', i, 3)))) AS g FROM bad),
+TRIGRAM_RANKS = """own AS MATERIALIZED (SELECT DISTINCT stem AS token, unnest(list_distinct(list_transform(range(1, length(stem) + 1), lambda i: substr('$' || stem || '$', i, 3)))) AS g FROM bad),
 sizes AS (SELECT token, count(*) AS q FROM own GROUP BY 1),
 theirs AS MATERIALIZED (SELECT term, length(term) AS m, unnest(list_transform(range(1, length(term) + 1), lambda i: substr('$' || term || '$', i, 3))) AS g FROM dfs),
 shared AS (SELECT token, term, m, count(*) AS both_n FROM own JOIN theirs USING (g) GROUP BY 1, 2, 3),
 scored AS MATERIALIZED (SELECT token, term, both_n::DOUBLE / (q + m - both_n) AS j FROM shared JOIN sizes USING (token) WHERE both_n::DOUBLE / (q + m - both_n) >= 0.25),
 t_ranked AS (SELECT *, row_number() OVER (PARTITION BY token ORDER BY j DESC, term)::INT AS rank FROM scored)"""
 
+TRIGRAMS = f"{STATS},{MISSPELT},{TRIGRAM_RANKS}"
+
 
 def _narrow(word: str) -> str:
     """Lower-cased letters of several bytes as capitals, which terms don't have: DuckDB's edit distance counts bytes."""
@@ -215,6 +216,15 @@ ORACLE = {
         SELECT trigram, count(*) AS entries, count(DISTINCT term) AS terms FROM g GROUP BY 1""",
     "trigram_best": f"WITH {TRIGRAMS} SELECT token, term, round(j, 6) AS jaccard FROM t_ranked WHERE rank = 1",
     "trigram_suggest": f"WITH {TRIGRAMS} SELECT token, rank, term, round(j, 6) AS jaccard FROM t_ranked WHERE rank <= 5",
+    "correct_query": f"""WITH {STATS},
+        typed AS MATERIALIZED (SELECT qid, pos, CASE WHEN pos % 4 = 0 AND length(w) >= 5 THEN left(w, 2) || substr(w, 4) ELSE w END AS word FROM (
+          SELECT qid, unnest(l) AS w, generate_subscripts(l, 1) - 1 AS pos FROM (
+            SELECT item_id AS qid, list_transform(list_filter(string_split_regex(coalesce(text, ''), '[^\\p{{L}}]'), lambda x: strlen(x) >= 2), lambda x: lower(x)) AS l FROM benchmark))),
+        {stem_ctes("SELECT word FROM typed", "m_stems")},
+        typed_tokens AS MATERIALIZED (SELECT qid, pos, stem AS token FROM typed JOIN m_stems USING (word)),
+        bad AS MATERIALIZED (SELECT DISTINCT token AS stem FROM typed_tokens WHERE token NOT IN (SELECT term FROM dfs)),
+        {TRIGRAM_RANKS}
+        SELECT qid, pos::INT AS pos, t.token, coalesce(r.term, t.token) AS term, r.term IS NOT NULL AS corrected FROM typed_tokens t LEFT JOIN t_ranked r ON t.token = r.token AND rank = 1""",
     "spell_correct": f"""WITH {STATS},{MISSPELT},
         v AS MATERIALIZED (SELECT term, {_narrow('term')} AS t, length(term) AS m FROM dfs),
         b AS MATERIALIZED (SELECT word, stem, {_narrow('word')} AS w, {_narrow('stem')} AS s, length(word) AS n, length(stem) AS k FROM bad),
