@@ -151,14 +151,21 @@ class Joined:
                 self.root = up
 
 
-def linked_in(home: np.ndarray, asking: np.ndarray, most: int, leaf: int = 128) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the pairs (asking, home) at `most` or fewer differing bits, by a tree over the shard's own rows."""
+def linked_in(home: np.ndarray, asking: np.ndarray, most: int, mask: int = (1 << WIDTH) - 1, reach: int | None = None, leaf: int = 128) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the pairs (asking, home) at `most` or fewer differing bits, of which the bits of mask hold `reach` (all, if None) at most.
+
+    By a tree over the shard's own rows and these bits; where they are so alike that it has a leaf of over a quarter of the rows, by one over all bits.
+    """
+    reach = most if reach is None else reach
     depth = max(0, (max(1, len(home)) // leaf).bit_length())
-    tree = grow(home[:: max(1, len(home) // 4096)], depth, (1 << WIDTH) - 1, most)
+    sample = home[:: max(1, len(home) // max(4096, 4 << depth))]
+    tree = grow(sample, depth, mask, reach)
+    if depth > 2 and np.bincount(route(tree, sample, 0)[1]).max() > len(sample) / 4:
+        tree, reach = grow(sample, depth, (1 << WIDTH) - 1, most), most
     both = np.unique(np.concatenate([home, asking]))
     sets = Joined(len(both))
     at_home, home_leaf = route(tree, home, 0)
-    ask, ask_leaf = route(tree, asking, most)
+    ask, ask_leaf = route(tree, asking, reach)
     at_home, ask = at_home[np.argsort(home_leaf, kind="stable")], ask[np.argsort(ask_leaf, kind="stable")]
     home_ends = np.cumsum(np.bincount(home_leaf, minlength=tree.leaves))
     ask_ends = np.cumsum(np.bincount(ask_leaf, minlength=tree.leaves))
@@ -176,19 +183,22 @@ def linked_in(home: np.ndarray, asking: np.ndarray, most: int, leaf: int = 128)
     return both[np.concatenate([a for a, _ in sets.kept])], both[np.concatenate([b for _, b in sets.kept])]
 
 
-def links(fps: DataFrame, most: int = 3, shard_rows: int = 1500, sample_rows: int = 16384) -> DataFrame:
+def links(fps: DataFrame, most: int = 3, shard_rows: int = 32_768, sample_rows: int = 16_384, sampled_a_leaf: int = 16) -> DataFrame:
     """Edges (a, b) that connect all fingerprints (column fp, distinct) at `most` or fewer differing bits; no link is lost.
 
     The bits are halved. Of `most` differences one half has most // 2 at most, so each half has a vantage-point tree
     of its own, over the Hamming distance on that half, with that as its search reach: the smaller it is, the fewer
-    fingerprints lie near a boundary. A tree of a bounded sample deals the fingerprints to shards; each one goes to its
-    home shard and, as a query, to all shards whose side of every boundary overlaps its reach. A shard searches its own rows
-    through a tree over all bits and returns a spanning forest of its pairs, so edges are fewer than its rows however
-    many near copies it holds.
+    fingerprints lie near a boundary. A tree of a sample deals the fingerprints to shards of about shard_rows; each one goes to its
+    home shard and, as a query, to all shards whose side of every boundary overlaps its reach. What the trees copy grows with
+    their depth, so shards are as large as one task holds with ease, and are searched through a tree of their own over the same half. A shard
+    returns a spanning forest of its pairs, so edges are fewer than its rows however many near copies it holds.
+
+    The sample has sample_rows fingerprints or, if that is more, sampled_a_leaf for each shard: of a thousand million fingerprints half a million.
     """
     rows = fps.count()
     depth = max(0, (rows // shard_rows).bit_length())
-    sample = np.array([r.fp for r in fps.orderBy(F.xxhash64("fp")).limit(sample_rows).collect()], np.int64).view(np.uint64)
+    taken = fps.orderBy(F.xxhash64("fp")).limit(max(sample_rows, sampled_a_leaf << depth)).collect() if depth else []
+    sample = np.array([r.fp for r in taken], np.int64).view(np.uint64)
     reach = most // 2
     trees = [grow(sample, depth, mask, reach) for mask in ((1 << 32) - 1, ((1 << 32) - 1) << 32)]
 
@@ -202,16 +212,18 @@ def links(fps: DataFrame, most: int = 3, shard_rows: int = 1500, sample_rows: in
                 at, leaf = route(tree, own.view(np.uint64), reach)
                 yield pd.DataFrame({"shard": k * tree.leaves + leaf, "fp": own[at], "home": home[at] == leaf})
 
-    def search(shard: pd.DataFrame) -> pd.DataFrame:
+    leaves, masks = trees[0].leaves, [t.mask for t in trees]
+
+    def search(key: tuple, shard: pd.DataFrame) -> pd.DataFrame:
         own = shard["fp"].to_numpy(np.int64).view(np.uint64)
-        a, b = linked_in(own[shard["home"].to_numpy()], own, most)
+        a, b = linked_in(own[shard["home"].to_numpy()], own, most, masks[int(key[0]) // leaves], reach)
         return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
 
     dealt = fps.select("fp").mapInPandas(deal, "shard long, fp long, home boolean")
     return dealt.groupBy("shard").applyInPandas(search, "a long, b long")
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """node, component for each node of the edges (a, b): the least node that it is connected with.
 
     Each round every node takes the least label among its own, its neighbours' and its label's label, so labels travel
@@ -221,7 +233,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     ends = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
     both = written(edges.select(ends.alias("e")).select("e.a", "e.b").distinct(), "links")
     labels = written(both.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("node"), F.least("a", "least").alias("label")), "labels")
-    for _ in range(most_rounds):
+    while True:
         offered = both.join(labels, both.b == labels.node).select(F.col("a").alias("node"), "label")
         above = labels.select(F.col("node").alias("label"), F.col("label").alias("up"))
         hung = labels.join(above, "label").select("node", F.col("up").alias("label"))
@@ -246,7 +258,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Returns doc_id, fingerprint (16 lower-case hexadecimal digits), component_id; a row for each row of docs.
     """
     rows = written(fingerprints(docs, id_col, text_col), "fingerprints")
-    named = named_components(rows, most)
+    named = written(named_components(rows, most), "fingerprint-names")
     return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -256,7 +268,7 @@ def named_components(rows: DataFrame, most: int = 3) -> DataFrame:
     comp = components(links(nodes, most))
     tied = nodes.join(comp, nodes.fp == comp.node, "left").select("fp", "least_id", F.coalesce("component", "fp").alias("component"))
     tied = written(tied, "fingerprint-components")
-    least = tied.groupBy("component").agg(F.min("least_id").alias("component_id"))
+    least = written(tied.groupBy("component").agg(F.min("least_id").alias("component_id")), "component-ids")  # so that a giant component is split in the join
     return tied.join(least, "component").select("fp", "component", "component_id")
 
 
