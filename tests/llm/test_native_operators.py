@@ -196,14 +196,23 @@ def test_top_k_edge_cases(spark):
     rng = np.random.default_rng(3)
     rows = [(i, rng.normal(size=8).round(2).tolist()) for i in range(400)] + [(500, None), (600, [None] * 8), (700, [float("nan")] * 8), (800, [float("inf")] * 8), (900, [1.0] * 3), (901, [2.0] * 3), (None, [1.0] * 8), (402, [0.5] * 8), (401, [0.5] * 8), (1000, []), (1001, [])]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    for blocks in ((4096, 4096), (2, 37)):
-        got = topk_search.top_k(frame, frame.filter("vec_id % 100 = 0"), 10, query_block=blocks[0], candidate_block=blocks[1])
+    clashing = frame.select("*", *(F.lit(1).alias(c) for c in ("id", "v", "dim", "cb", "asks", "floor")))
+    for table, block in ((frame, 65_536), (frame, 37), (clashing, 150)):
+        got = topk_search.top_k(table, table.filter("vec_id % 100 = 0"), 10, candidate_block=block)
         assert {tuple(r) for r in got.select("query_id", "rank", "vec_id", "score").collect()} == brute_top(rows)
     assert topk_search.top_k(frame.limit(0), frame.limit(0)).count() == 0
     big = spark.createDataFrame([(0, [1e6, 1.0]), (1, [1e6, -1.0]), (2, [-1e300, 0.0])], "vec_id long, embedding array<double>")
     assert [(r.vec_id, r.score) for r in topk_search.top_k(big, big.filter("vec_id = 0")).orderBy("rank").collect()] == [(1, (1024 * 10**6) ** 2 - 1024**2), (2, -(2**63))]
 
 
+def test_top_k_counts_a_repeated_id_once(spark):
+    rows = [(0, [1.0, 0.0])] + [(1, [9.0 - k / 100, 0.0]) for k in range(30)] + [(i, [float(i) / 10, 0.0]) for i in range(2, 40)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for block in (65_536, 9):
+        got = topk_search.top_k(frame, frame.filter("vec_id = 0"), 10, candidate_block=block).orderBy("rank").collect()
+        assert [r.vec_id for r in got] == [1, 39, 38, 37, 36, 35, 34, 33, 32, 31] and got[0].score == 9 * 1024**2
+
+
 @pytest.mark.parametrize("many", [0, 1, 40])
 def test_bounds_never_lose_a_candidate(many):
     rng = np.random.default_rng(many)
