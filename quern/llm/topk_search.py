@@ -137,7 +137,7 @@ def meet(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
             yield block.search(ids, rows, own.column("floor").to_numpy(zero_copy_only=False).astype(np.int64))
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", candidate_block: int = 65_536) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", candidate_block: int = 16_384) -> DataFrame:
     """The k vectors with the largest integer inner product for each query; ties to the smaller id.
 
     Candidates are dealt once, by a hash of the id, into blocks of about candidate_block rows, as many as the table needs. A task lays a
