@@ -28,6 +28,18 @@ def is_set(bits: Column, at: Column) -> Column:
     return F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))
 
 
+def may_hold(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """rows with a boolean column again: false only where the key, a 64-bit hash, is in no row of keys (a written table with a column of that name).
+
+    By a Bloom filter of the keys, whose bound filter_cells() sets, broadcast; nothing of rows moves.
+    """
+    cells = filter_cells(keys.count())
+    blocks = filter_blocks(keys.select(F.pmod(key, F.lit(cells)).alias("cell")))
+    cell = F.pmod(key, F.lit(cells))
+    probed = rows.join(F.broadcast(blocks), F.shiftright(cell, 15) == F.col("block"), "left")
+    return probed.withColumn("again", is_set(F.col("bits"), cell % BLOCK)).drop("block", "bits")
+
+
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits_per_row: int = 16, max_filter_bytes: int = 1 << 26) -> DataFrame:
     """Group equal texts; of each group the row with the largest id stays.
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.common import text_of, written
-from quern.llm.exact_dedup import BLOCK, filter_blocks, filter_cells, is_set
+from quern.llm.exact_dedup import may_hold
 
 #: ASCII white space other than the line feed, which ends lines.
 GAP = r"[ \t\x0B\f\r]+"
@@ -40,7 +40,7 @@ def _parts(tokens: Column) -> Column:
 
 
 def parsed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc (a hash of id and text), id, line (its number from 0), leaf and parts of each line that is not blank.
+    """doc (a hash of id and text), id, line (its number from 0), own (a hash of it all), leaf and parts of each line that is not blank.
 
     The tree has a fixed depth: token count, then the DEPTH leading tokens, or all of a shorter line, which then has no
     parts and only equals lines that are the same; a leaf is a hash of that path. A row is
@@ -52,7 +52,8 @@ def parsed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     lines = whole.select("doc", "id", F.posexplode("lines").alias("line", "content"))
     cut = lines.select("doc", "id", "line", F.explode(F.array(tokens_of(F.col("content")))).alias("tokens")).filter(F.get("tokens", F.lit(0)) != "")
     path = F.xxhash64(F.size("tokens"), F.slice("tokens", 1, DEPTH))
-    return cut.select("doc", "id", "line", path.alias("leaf"), _parts(F.col("tokens")).alias("parts"))
+    placed = cut.select("doc", "id", "line", path.alias("leaf"), F.explode(F.array(_parts(F.col("tokens")))).alias("parts"))
+    return placed.select("doc", "id", "line", F.xxhash64("leaf", "parts").alias("own"), "leaf", "parts")
 
 
 def _masks(alike: float) -> dict[int, list[tuple[int, ...]]]:
@@ -88,13 +89,13 @@ def recurring_lines(lines: DataFrame, alike: float = ALIKE) -> DataFrame:
     # Equal lines become one row with their first and last document, so a hot line is one row from here on.
     ends = [F.min("a").alias("a"), F.max("b").alias("b")]
     span = [*ends, F.min("first").alias("first")]
-    own = F.xxhash64("leaf", "parts")
-    seen = lines.select("leaf", "parts", F.col("doc").alias("a"), F.col("doc").alias("b"), F.struct("id", "doc", "line").alias("first"))
-    same = written(seen.groupBy("leaf", "parts").agg(*span).withColumn("own", own), "line-groups")
+    seen = lines.select("own", "leaf", F.col("doc").alias("a"), F.col("doc").alias("b"), F.struct("id", "doc", "line").alias("first"))
+    same = written(seen.groupBy("own").agg(F.min("leaf").alias("leaf"), *span), "line-groups")
 
-    # Only a leaf that holds different lines, of two or more documents, can hold a template of several.
+    # Only a leaf that holds different lines, of two or more documents, can hold a template of several: few lines' parts have to move.
     shared = written(same.groupBy("leaf").agg(*ends, F.count("*").alias("many")).filter("a <> b AND many > 1").select("leaf"), "line-leaves")
-    held = same.join(shared, "leaf", "left_semi")
+    inside = may_hold(lines.select("own", "leaf", "parts", "doc"), "leaf", shared).filter("again").join(shared, "leaf", "left_semi")
+    held = inside.groupBy("own").agg(F.min("leaf").alias("leaf"), F.first("parts").alias("parts"), F.min("doc").alias("a"), F.max("doc").alias("b"))
     keys = held.select("own", "a", "b", F.explode(_templates(F.col("leaf"), F.col("parts"), alike)).alias("t")).select("own", "a", "b", "t.*")
     keys = written(keys, "line-keys")
     common = written(keys.groupBy("template").agg(*ends, F.count("*").alias("many")).filter("many > 1 AND a <> b").select("template", "many"), "line-templates")
@@ -105,7 +106,8 @@ def recurring_lines(lines: DataFrame, alike: float = ALIKE) -> DataFrame:
     told = written(same.join(best, "own", "left").filter("template IS NOT NULL OR a <> b").select("own", F.coalesce("template", "own").alias("template"), "a", "b", "first"), "line-told")
     groups = written(told.groupBy("template").agg(*span).filter("a <> b").select("template", F.col("first").alias("kept")), "line-recurring")
     found = written(told.select("own", "template").join(groups, "template").select("own", "kept"), "line-drops")
-    return lines.withColumn("own", own).join(found, "own").filter(F.struct("id", "doc", "line") != F.col("kept")).select("doc", "id", "line")
+    again = may_hold(lines.select("own", "doc", "id", "line"), "own", found).filter("again")
+    return again.join(found, "own").filter(F.struct("id", "doc", "line") != F.col("kept")).select("doc", "id", "line")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -127,15 +129,12 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     text = text_of(text_col)
     whole = docs.select(F.struct("*").alias("row"), F.xxhash64(F.col(id_col), text).alias("doc"), F.col(id_col).alias("own_id"), text.alias("text"))
 
-    cells = filter_cells(drops.count())
-    blocks = filter_blocks(drops.select(F.pmod("drop_doc", F.lit(cells)).alias("cell")))
-    cell = F.pmod("doc", F.lit(cells))
-    probed = whole.join(F.broadcast(blocks), F.shiftright(cell, 15) == F.col("block"), "left")
-    hit = is_set(F.col("bits"), cell % BLOCK)
+    hit = may_hold(whole, "doc", drops.select(F.col("drop_doc").alias("doc")))
     all_lines = F.split("text", "\n")
-    whole_rows = probed.filter(~hit).select("row", "text", F.size(all_lines).alias("n_lines"), F.lit(0).alias("n_dropped"))
+    whole_rows = hit.filter("NOT again").select("row", "text", F.size(all_lines).alias("n_lines"), F.lit(0).alias("n_dropped"))
 
-    met = probed.filter(hit).select("row", "doc", "own_id", "text").join(drops, (F.col("doc") == F.col("drop_doc")) & F.col("own_id").eqNullSafe(F.col("id")), "left")
+    # By merge at every size, so that a plan over a small table is that over a large one.
+    met = hit.filter("again").select("row", "doc", "own_id", "text").join(drops.hint("merge"), (F.col("doc") == F.col("drop_doc")) & F.col("own_id").eqNullSafe(F.col("id")), "left")
     stays = F.array_except(F.sequence(F.lit(0), F.size("all_lines") - 1), F.coalesce("dropped", F.array().cast("array<int>")))
     kept = F.array_join(F.transform(stays, lambda i: F.get("all_lines", i)), "\n")
     cut = met.select("row", "text", "dropped", F.explode(F.array(all_lines)).alias("all_lines"))  # a generator, so that they are cut once
