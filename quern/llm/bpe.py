@@ -199,7 +199,7 @@ class Lexicon:
 class Tokenizer:
     """Encodes and decodes whole texts. Words met are remembered up to a bound; then the memory starts anew."""
 
-    def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None = None, remembered: int = 400_000) -> None:
+    def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None = None, remembered: int = 200_000) -> None:
         self.vocabulary, self.lexicon, self.remembered = vocabulary, lexicon, remembered
         self.words = regex.compile(WORDS)
         specials = sorted(vocabulary.special, key=len, reverse=True)
@@ -261,37 +261,49 @@ def _tokenizer(path: str, data: bytes) -> Tokenizer:
     return _tokenizers[key]
 
 
-def tokenise(docs: DataFrame, vocabulary_path: str, lexicon_words: int = 50_000, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
+def tokenise(
+    docs: DataFrame, vocabulary_path: str, lexicon_words: int = 50_000, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False, keep_decoded: bool = False
+) -> DataFrame:
     """Encode every whole text and decode it again.
 
     The words that are frequent in the whole corpus are found first (in Spark), merged once on the driver and
     compiled into a minimal transducer, whose size the number of words bounds; it is broadcast and memory-mapped by
     each worker. Words outside it are merged exactly. Which words it holds changes the speed alone, never the ids.
 
-    Null texts count as empty, which have no tokens. Rows are independent: repeated rows and null ids come back as they
-    are, other columns don't. Returns doc_id, n_tokens, ids_sha256 (of decimal ids joined by commas), decoded_sha256,
-    and with keep_ids also ids (array<int>) and decoded (string).
+    Null texts count as empty, which have no tokens. Texts of any length are encoded whole. Rows are independent: repeated rows and null ids come back as they
+    are, other columns, whatever their names, don't. An empty table gives an empty one. Returns doc_id, n_tokens, ids_sha256 (of decimal ids joined by
+    commas), decoded_sha256, with keep_ids also ids (array<int>), with keep_decoded also decoded (string).
     """
     spark = docs.sparkSession
     vocabulary = _vocabulary(vocabulary_path)
     entries = ((w, vocabulary.merge(w)) for w in (x.encode() for x in frequent_words(docs, lexicon_words, text_col)))
     shared = spark.sparkContext.broadcast(compile_lexicon(entries))
     decimal = [str(i) for i in range(len(vocabulary.tokens))]
-    more = ", ids array<int>, decoded string" if keep_ids else ""
+    more = (", ids array<int>" if keep_ids else "") + (", decoded string" if keep_decoded else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = _tokenizer(vocabulary_path, shared.value)
         names = decimal
         for batch in batches:
-            rows: list[tuple] = []
+            counts, digests, backs, kept, texts = [], [], [], [], []
             for text in batch.column("text"):
-                ids = tokenizer.encode(text.as_py() or "").tolist()
+                found = tokenizer.encode(text.as_py() or "")
+                ids = found.tolist()
                 decoded = tokenizer.decode(ids)
-                listed = ",".join(map(names.__getitem__, ids))
-                rows.append((len(ids), hashlib.sha256(listed.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest(), *((ids, decoded) if keep_ids else ())))
-            kinds = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.string()]
-            columns = [pa.array([r[k] for r in rows], kinds[k]) for k in range(5 if keep_ids else 3)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"][: 1 + len(columns)])
+                counts.append(len(ids))
+                digests.append(hashlib.sha256(",".join(map(names.__getitem__, ids)).encode()).hexdigest())
+                backs.append(hashlib.sha256(decoded.encode()).hexdigest())
+                if keep_ids:
+                    kept.append(found)
+                if keep_decoded:
+                    texts.append(decoded)
+            columns = {"doc_id": batch.column("doc_id"), "n_tokens": pa.array(counts, pa.int64()), "ids_sha256": pa.array(digests, pa.string()), "decoded_sha256": pa.array(backs, pa.string())}
+            if keep_ids:
+                flat = np.concatenate([np.zeros(0, np.int32), *kept])
+                columns["ids"] = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *counts]), pa.int32()), pa.array(flat, pa.int32()))
+            if keep_decoded:
+                columns["decoded"] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_pydict(columns)
 
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return chosen.mapInArrow(run, f"doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string{more}")

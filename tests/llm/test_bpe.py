@@ -76,7 +76,7 @@ def test_table_and_edge_cases(spark):
         want.add((i if i != 2 else None, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()))
     assert got == want
     assert tokenise(docs.limit(0), PATH).count() == 0
-    row = tokenise(docs.filter("doc_id = 3"), PATH, keep_ids=True).first()
+    row = tokenise(docs.filter("doc_id = 3"), PATH, keep_ids=True, keep_decoded=True).first()
     assert row.decoded == "hello the world" and row.ids == LIBRARY.encode("hello the world").ids
 
 
