@@ -38,8 +38,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of ids and of the decoded text, for each use of a document."""
-    return bpe.tokenise(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    """The token ids of each use of a document, their number, and digests of them and of the decoded text."""
+    return bpe.tokenise(docs, public_tokenizers.path("byte_bpe_50k.json"), keep_ids=True)
 
 
 STAGES = [
