@@ -28,6 +28,7 @@ SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 WORDS = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 MAGIC = b"MATX"
 SHORT = 128  # bytes of a word up to which merges look at all pairs
+ROWS = 500  # encoded at a time
 LONGEST = 64  # bytes of a word of the lexicon; longer ones are merged
 
 
@@ -197,7 +198,7 @@ class Lexicon:
 
 
 class Tokenizer:
-    """Encodes and decodes whole texts. Words met are remembered up to a bound; then the memory starts anew."""
+    """Encodes and decodes whole texts. Words met are remembered in two memories of bounded size: when the newer is full it becomes the older, from which words met again are taken over."""
 
     def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None = None, remembered: int = 200_000) -> None:
         self.vocabulary, self.lexicon, self.remembered = vocabulary, lexicon, remembered
@@ -205,14 +206,17 @@ class Tokenizer:
         specials = sorted(vocabulary.special, key=len, reverse=True)
         self.special = regex.compile("(" + "|".join(map(regex.escape, specials)) + ")") if specials else None
         self.memory: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _packed(self, word: str) -> bytes:
-        data = word.encode("utf-8", "replace")
-        found = self.lexicon.ids(data) if self.lexicon is not None else None
-        out = array("i", self.vocabulary.merge(data)).tobytes() if found is None else found.tobytes()
+        out = self.older.get(word)
+        if out is None:
+            data = word.encode("utf-8", "replace")
+            found = self.lexicon.ids(data) if self.lexicon is not None else None
+            out = array("i", self.vocabulary.merge(data)).tobytes() if found is None else found.tobytes()
         if len(word) < 64:
             if len(self.memory) >= self.remembered:
-                self.memory.clear()
+                self.older, self.memory = self.memory, {}
             self.memory[word] = out
         return out
 
@@ -284,7 +288,8 @@ def tokenise(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = _tokenizer(vocabulary_path, shared.value)
         names = decimal
-        for batch in batches:
+        # A few rows at a time, so that the ids of a whole batch are never held at once.
+        for batch in (whole.slice(a, ROWS) for whole in batches for a in range(0, max(1, whole.num_rows), ROWS)):
             counts, digests, backs, kept, texts = [], [], [], [], []
             for text in batch.column("text"):
                 found = tokenizer.encode(text.as_py() or "")
