@@ -93,3 +93,17 @@ def test_fixture_table_matches_library(spark):
     for r in docs.select("doc_id", "text").collect():
         ids = LIBRARY.encode(r.text or "", add_special_tokens=False).ids
         assert got[r.doc_id] == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+
+
+def test_latin_words_are_those_of_the_pattern():
+    import random
+
+    import regex
+
+    from quern.llm.bpe import WORDS, Tokenizer, Vocabulary
+
+    tokenizer, rng = Tokenizer(Vocabulary(PATH)), random.Random(5)
+    alphabet = [chr(c) for c in range(256)] + list("  aez'sd09é\n\t\u2009\u0153")
+    for _ in range(3000):
+        text = "".join(rng.choices(alphabet, k=rng.randrange(40)))
+        assert tokenizer.cut(text) == regex.findall(WORDS, text)
