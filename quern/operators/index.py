@@ -6,7 +6,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, fields
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions import text as X
@@ -62,6 +62,11 @@ def postings(docs: DataFrame) -> DataFrame:
     return flat.groupBy("doc_id", "term").agg(tf(0).alias("title_tf"), tf(1).alias("body_tf"), first.alias("positions")).select("term", "doc_id", "title_tf", "body_tf", "positions")
 
 
+def total_tf() -> Column:
+    """A posting's frequency over both fields."""
+    return F.col("title_tf") + F.col("body_tf")
+
+
 def doc_stats(docs: DataFrame, posted: DataFrame) -> DataFrame:
     """doc_id, created_at, title_len, body_len: lengths are sums of the weighted frequencies; 0 without words."""
     lengths = posted.groupBy("doc_id").agg(F.sum("title_tf").alias("title_len"), F.sum("body_tf").alias("body_len"))
@@ -95,7 +100,7 @@ def lexeme_counts(docs: DataFrame, posted: DataFrame) -> DataFrame:
     # The stem of a lexeme with joiners goes part by part; the expression is evaluated for such lexemes alone.
     joined = F.when(F.contains(F.col("lexeme"), F.lit(X.JOINER)), F.get(lexeme_stems("array(lexeme)"), 0)).otherwise(F.col("term"))
     counted = plain.select("doc_id", joined.alias("term")).filter("term <> ''").groupBy("doc_id", "term").agg(F.count("*").alias("n"))
-    return even.filter("term <> ''").select("doc_id", "term", (F.col("title_tf") + F.col("body_tf")).alias("n")).unionByName(counted)
+    return even.filter("term <> ''").select("doc_id", "term", total_tf().alias("n")).unionByName(counted)
 
 
 def doc_vectors(counted: DataFrame, df: DataFrame, corpus: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -135,6 +136,10 @@ def q_postings(spark, sf_dir):
     return index_of(spark, sf_dir).postings.select("term", "doc_id", "title_tf", "body_tf")
 
 
+def q_posting_totals(spark, sf_dir):
+    return index_of(spark, sf_dir).postings.select("term", "doc_id", I.total_tf().alias("total_tf"))
+
+
 def q_positions(spark, sf_dir):
     listed = index_of(spark, sf_dir).postings.filter(~F.contains("term", F.lit("~")))
     return listed.select("term", "doc_id", F.array_join(F.col("positions").cast("array<string>"), ",").alias("positions"))
@@ -175,6 +180,29 @@ def q_bm25(spark, sf_dir):
     return hits.select("qid", "doc_id", "rank", F.round("score", 6).alias("score"))
 
 
+def q_matched_terms(spark, sf_dir):
+    held = index_of(spark, sf_dir)
+    hits = rank.bm25(query_terms(spark, sf_dir), held.postings, held.df, held.stats, held.corpus, NOW, 5)
+    return hits.select("qid", "rank", F.array_join("matched_terms", ",").alias("matched_terms"))
+
+
+def q_joined_lexemes(spark, sf_dir):
+    """Lexemes with joiners: the first three words of each benchmark text, joined, and the next as they are."""
+    words = F.filter(X.fragments(F.col("raw")), X.long_enough)
+    made = workload(spark, sf_dir).select("qid", F.concat(F.array_join(F.slice(words, 1, 3), X.JOINER), F.lit(" "), F.array_join(F.slice(words, 4, 5), " ")).alias("made"))
+    return made.select("qid", query.query_lexemes("made").alias("lexemes")).select("qid", F.array_join("lexemes", ",").alias("lexemes"))
+
+
+def q_blend(spark, sf_dir):
+    """The fused score as a result shows it, with the semantic weight at its bounds and between."""
+    held, terms = index_of(spark, sf_dir), query_terms(spark, sf_dir)
+    hits = rank.bm25(terms, held.postings, held.df, held.stats, held.corpus, NOW, 20)
+    near = rank.similar_ranks(_similar(spark, sf_dir), hits, 10)
+    none = near.limit(0)
+    each = [rank.rrf(hits, near if b > engine.LEAST_BLEND else none, 1 - b, b, 10).withColumn("blend", F.lit(b)) for b in (0.0, 0.01, 0.4, 1.0)]
+    return reduce(DataFrame.unionByName, each).select("blend", "qid", "rank", "doc_id", F.round("score", engine.SCORE_DECIMALS).alias("score"))
+
+
 def q_tfidf(spark, sf_dir):
     return index_of(spark, sf_dir).vectors.select("doc_id", "term", F.round("weight", 6).alias("weight"), F.round("norm", 6).alias("norm"))
 

@@ -188,6 +188,22 @@ ORACLE = {
     "html_escape": "SELECT page_id, replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;') AS escaped FROM pages",
     "lead_sentences": f"WITH {DOCS} SELECT doc_id, CASE WHEN regexp_extract(body, '^(?s)([^.!?]*[.!?]){{2}}', 0) = '' THEN body ELSE regexp_extract(body, '^(?s)([^.!?]*[.!?]){{2}}', 0) END AS lead FROM docs",
     "postings": f"WITH {POSTINGS} SELECT term, doc_id, title_tf, body_tf FROM postings",
+    "posting_totals": f"WITH {POSTINGS} SELECT term, doc_id, title_tf + body_tf AS total_tf FROM postings",
+    "matched_terms": f"""WITH {BM25},
+        hit AS (SELECT qid, doc_id, term, min(pos) AS pos FROM asked JOIN postings USING (term) GROUP BY 1, 2, 3)
+        SELECT qid, rank, string_agg(term, ',' ORDER BY pos) AS matched_terms FROM bm_ranked JOIN hit USING (qid, doc_id) WHERE rank <= 5 GROUP BY 1, 2""",
+    "joined_lexemes": f"""WITH b AS (SELECT item_id AS qid, list_filter(string_split_regex(coalesce(text, ''), '[^\\p{{L}}]'), lambda x: strlen(x) >= 2)[1:8] AS l FROM benchmark),
+        w AS MATERIALIZED (SELECT qid, lower(unnest(l)) AS word, generate_subscripts(l, 1) AS i FROM b),
+        {stem_ctes("SELECT word FROM w")},
+        parts AS (SELECT qid, least(i, 3) + greatest(i - 3, 0) AS i, greatest(i, 3) AS lexeme, stem FROM w JOIN stems USING (word)),
+        joined AS (SELECT qid, lexeme, string_agg(stem, '~' ORDER BY i) AS lex FROM parts GROUP BY 1, 2)
+        SELECT item_id AS qid, coalesce(string_agg(lex, ',' ORDER BY lexeme), '') AS lexemes FROM benchmark LEFT JOIN joined ON qid = item_id GROUP BY 1""",
+    "blend": f"""WITH {BM25},{COSINE}, weights AS (SELECT unnest([0::DOUBLE, 0.01::DOUBLE, 0.4::DOUBLE, 1::DOUBLE]) AS blend),
+        fused AS (SELECT blend, qid, doc_id, sum(p) AS score FROM (
+          SELECT blend, qid, doc_id, (1 - blend) / (60 + rank) AS p FROM bm_ranked, weights WHERE rank <= 20
+          UNION ALL SELECT blend, qid, doc_id, blend / (60 + rank) FROM cos_ranked, weights WHERE blend > 0.01) GROUP BY 1, 2, 3),
+        r AS (SELECT *, row_number() OVER (PARTITION BY blend, qid ORDER BY round(score, 9) DESC, doc_id)::INT AS rank FROM fused)
+        SELECT blend, qid, rank, doc_id, round(score, 5) AS score FROM r WHERE rank <= 10""",
     "positions": f"WITH {POSTINGS} SELECT term, doc_id, array_to_string(offs[1:8], ',') AS positions FROM postings WHERE NOT contains(term, '~')",
     "doc_lengths": f"""WITH {DOCS},{FRAGMENTS}, w AS (SELECT doc_id, count(*) FILTER (field = 0) AS t, count(*) FILTER (field = 1) AS b FROM kept GROUP BY 1)
         SELECT doc_id, coalesce(t + 3 * greatest(t - 1, 0) + 5 * greatest(t - 2, 0), 0)::BIGINT AS title_len, coalesce(b + greatest(b - 1, 0) + 2 * greatest(b - 2, 0), 0)::BIGINT AS body_len FROM docs LEFT JOIN w USING (doc_id)""",
