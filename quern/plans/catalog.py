@@ -74,15 +74,8 @@ def dictionaries(spark: SparkSession) -> tuple[list[str], DataFrame]:
     return lexicon.phrase_terms(lexicon.default_phrases()), spark.createDataFrame(pairs, "stem string, synonym string")
 
 
-#: Queries over the sample corpus, whose phrases and synonyms are English.
-ASKED = (
-    "machine learning", "machine learning models", "natural language processing data base", "big O notation", "fast fast search", "lokups", "garbage colection",
-    "neural networks in search engines", "", "!? 42", "time series storage", "inverted index lookup",
-)
-
-
 def asked(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(ASKED)), "qid long, raw string")
+    return spark.createDataFrame(list(enumerate(samples.ASKED)), "qid long, raw string")
 
 
 def sample_index(spark: SparkSession) -> I.Index:
@@ -295,6 +288,16 @@ def q_phrases(spark, sf_dir):
     return found.select("qid", F.array_join("phrases", ",").alias("phrases"))
 
 
+def q_phrases_in_texts(spark, sf_dir):
+    """Known phrases found in the workload, into each text of which one is put, and again after a word."""
+    known = F.array(*map(F.lit, lexicon.default_phrases()))
+    words = F.split("raw", " ")
+    phrase = F.get(known, (F.col("qid") % F.size(known)).cast("int"))
+    made = F.concat_ws(" ", F.slice(words, 1, 3), phrase, F.get(words, 3), F.lower(phrase), F.slice(words, F.lit(5), F.size(words)))
+    found = query.detect_phrases(workload(spark, sf_dir).select("qid", made.alias("raw")), dictionaries(spark)[0])
+    return found.select("qid", F.array_join("phrases", ",").alias("phrases"))
+
+
 def q_process_query(spark, sf_dir):
     done = query.process_queries(asked(spark), sample_index(spark).vocabulary, *dictionaries(spark))
     pair = F.transform("corrections", lambda c: F.concat_ws(">", c["word"], c["term"]))

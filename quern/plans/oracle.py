@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from quern.functions.stem import ADJECTIVAL, DERIVED, FINAL
 from quern.operators import lexicon
-from quern.sources.samples import SAMPLES
+from quern.sources import samples
 
 NOW = 1_704_067_200
 
@@ -166,16 +166,41 @@ def _runs(n: int) -> str:
 
 
 _SAMPLE_DOCS = f"""
-docs AS MATERIALIZED ({_values([(n, title, body, NOW - days * 86400) for n, (title, body, days) in enumerate(SAMPLES)], "doc_id, title, body, created_at")})"""
+docs AS MATERIALIZED ({_values([(n, title, body, NOW - days * 86400) for n, (title, body, days) in enumerate(samples.SAMPLES)], "doc_id, title, body, created_at")})"""
 
 _SYNONYM_CTES = f"""{stem_ctes(_dictionary_words(), "d_stems")}, p AS (SELECT a.stem AS x, b.stem AS y FROM ({_PAIRS}) JOIN d_stems a ON a.word = head JOIN d_stems b ON b.word = syn),
 pairs AS (SELECT DISTINCT x AS stem, y AS synonym FROM (SELECT x, y FROM p UNION ALL SELECT y, x FROM p))"""
 
-#: Phrases of the catalog's queries over the sample corpus, traced by hand.
-_TRACED = [
-    (0, "machin~learn"), (1, "machin~learn"), (2, "natur~languag~process,data~bas"), (3, "big~o"), (4, ""), (5, ""), (6, ""),
-    (7, "neur~network,search~engin"), (8, ""), (9, ""), (10, "tim~seri"), (11, "invert~index"),
-]
+_COMPOUNDS = f"""{stem_ctes(_dictionary_words(), "c_stems")},
+w_phrase AS (SELECT n, unnest(string_split(phrase, ' ')) AS word, generate_subscripts(string_split(phrase, ' '), 1) AS i FROM ({_PHRASES})),
+compounds AS MATERIALIZED (SELECT DISTINCT compound FROM (SELECT n, string_agg(stem, '~' ORDER BY i) AS compound, count(*) AS k FROM w_phrase JOIN c_stems USING (word) GROUP BY 1) WHERE k IN (2, 3))"""
+
+
+def _phrases(source: str) -> str:
+    """SQL for the phrases of queries (qid, raw): places are walked from left to right, for three words first, then for two among what is left."""
+
+    def walk(name: str, size: int, free: str, start: str) -> str:
+        term = f"array_to_string(stems[p:p + {size - 1}], '~')"
+        hit = f"({free} AND {term} IN (SELECT compound FROM compounds))"
+        return f"""{name}(qid, p, stems, used, found) AS (
+          SELECT * FROM ({start})
+          UNION ALL SELECT qid, CASE WHEN {hit} THEN p + {size} ELSE p + 1 END, stems, CASE WHEN {hit} THEN used || range(p, p + {size}) ELSE used END, CASE WHEN {hit} THEN found || [{term}] ELSE found END
+          FROM {name} WHERE p + {size - 1} <= len(stems))"""
+
+    first = "SELECT qid, 1::BIGINT, stems, []::BIGINT[], []::VARCHAR[] FROM stemmed"
+    then = "SELECT qid, 1::BIGINT, stems, used, found FROM threes WHERE p + 2 > len(stems)"
+    return f"""WITH RECURSIVE raws AS ({source}),
+        cut_q AS (SELECT qid, list_filter(string_split_regex(raw, '[^\\p{{L}}]'), lambda x: x <> '') AS l FROM raws),
+        q_words AS MATERIALIZED (SELECT qid, lower(unnest(l)) AS word, generate_subscripts(l, 1) AS i FROM cut_q),
+        {stem_ctes("SELECT word FROM q_words", "p_stems")}, {_COMPOUNDS},
+        stemmed AS MATERIALIZED (SELECT qid, coalesce(list(stem ORDER BY i) FILTER (stem IS NOT NULL), []) AS stems FROM raws LEFT JOIN q_words USING (qid) LEFT JOIN p_stems USING (word) GROUP BY 1),
+        {walk("threes", 3, "true", first)},
+        {walk("twos", 2, "NOT list_has_any(used, [p, p + 1])", then)}
+        SELECT qid::BIGINT AS qid, array_to_string(found, ',') AS phrases FROM twos WHERE p + 1 > len(stems)"""
+
+
+_PLANTED = f"""SELECT item_id AS qid, array_to_string(w[1:3] || [phrase] || w[4:4] || [lower(phrase)] || w[5:], ' ') AS raw FROM (
+  SELECT item_id, string_split(coalesce(text, ''), ' ') AS w, item_id % {len(lexicon.default_phrases())} AS n FROM benchmark) JOIN ({_values(list(enumerate(lexicon.default_phrases())), "n, phrase")}) USING (n)"""
 
 ORACLE = {
     "tokenise": f"WITH {TOKENS} SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY field, pos) - 1)::INT AS pos, stem AS token FROM tokens",
@@ -251,7 +276,8 @@ ORACLE = {
         SELECT word, stem, term, round(sim, 6) AS sim FROM r WHERE rank = 1""",
     "synonyms": f"WITH {_SYNONYM_CTES} SELECT stem, synonym FROM pairs",
     "synonym_expand": f"WITH {POSTINGS.replace(DOCS, _SAMPLE_DOCS)}, {_SYNONYM_CTES} SELECT stem AS term, string_agg(synonym, ',' ORDER BY synonym) AS synonyms FROM pairs WHERE synonym IN (SELECT term FROM postings) GROUP BY 1",
-    "phrases": "SELECT qid::BIGINT AS qid, phrases FROM (" + _values(_TRACED, "qid, phrases") + ")",
+    "phrases": _phrases(_values(list(enumerate(samples.ASKED)), "qid, raw")),
+    "phrases_in_texts": _phrases(_PLANTED),
     "phrase_table": f"""WITH {stem_ctes(_dictionary_words())}, w AS (SELECT n, unnest(string_split(phrase, ' ')) AS word, generate_subscripts(string_split(phrase, ' '), 1) AS i FROM ({_PHRASES})),
         c AS (SELECT n, string_agg(stem, '~' ORDER BY i) AS compound, count(*) AS k FROM w JOIN stems USING (word) GROUP BY 1) SELECT DISTINCT compound FROM c WHERE k IN (2, 3)""",
 }
