@@ -212,7 +212,7 @@ class Lexicon:
 class Tokenizer:
     """Encodes and decodes whole texts. Words met are remembered in two memories of bounded size: when the newer is full it becomes the older, from which words met again are taken over."""
 
-    def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None = None, remembered: int = 200_000) -> None:
+    def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None = None, remembered: int = 128_000) -> None:
         self.vocabulary, self.lexicon, self.remembered = vocabulary, lexicon, remembered
         self.words, self.latin = regex.compile(WORDS).findall, _latin_words().findall
         specials = sorted(vocabulary.special, key=len, reverse=True)

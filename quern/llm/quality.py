@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from quern.llm.common import free_name, held_out, sampled_ids, written
 
 #: Bytes of a passage, hashed pairs of bytes, bins in which runs of four bytes are told apart, bytes that are encoded at a time.
-PASSAGE, PAIRS, RUNS, STRETCH = 512, 256, 1024, 1 << 20
+PASSAGE, PAIRS, RUNS, STRETCH = 512, 256, 1024, 1 << 18
 #: Kinds of bytes whose parts are features: a-z, A-Z, digits, white space, line feeds, two groups of marks, bytes of other letters.
 KINDS = (b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" \t\r\x0b\x0c", b"\n", b".,;:'-", b"!?\"()", bytes(range(128, 256)))
 _KIND = np.full(256, len(KINDS), np.uint8)  # all other bytes
