@@ -54,9 +54,17 @@ STAGES = [
 ORACLE_SQL = None
 
 
+#: Rows that go to a Python worker at a time: whole texts of a few MB in all, held by Spark and by the worker.
+BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "1000"
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages one after the other over documents."""
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+    docs, before = table(spark, sf_dir, "documents"), spark.conf.get(BATCH)
+    spark.conf.set(BATCH, BATCH_ROWS)
+    try:
+        for name, stage in STAGES:
+            docs = written(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+    finally:
+        spark.conf.set(BATCH, before)
     return docs
