@@ -14,8 +14,18 @@ from quern.llm import bpe, line_dedup, near_dedup, quality, source_mixing
 from quern.llm.common import table, written
 
 
+#: Rows that go to a Python worker at a time: whole texts of a few MB in all, held by Spark and by the worker.
+BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "1000"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Set for the session by the stages that run Python, also when they are called one by one; run() restores what was set before."""
+    spark.conf.set(BATCH, BATCH_ROWS)
+
+
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier, trained on the labels, scores 0.5 or more."""
+    small_batches(spark)
     model = quality.train(docs, table(spark, sf_dir, "labels"))
     return quality.score(docs, model, keep=True).filter("quality_score >= 0.5").select(docs.columns)
 
@@ -29,6 +39,7 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near-duplicates, the document with the least doc_id; of rows that share it, one."""
+    small_batches(spark)
     return near_dedup.keep_one(docs)
 
 
@@ -39,6 +50,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token ids of each use of a document, their number, and digests of them and of the decoded text."""
+    small_batches(spark)
     return bpe.tokenise(docs, public_tokenizers.path("byte_bpe_50k.json"), keep_ids=True)
 
 
@@ -54,14 +66,9 @@ STAGES = [
 ORACLE_SQL = None
 
 
-#: Rows that go to a Python worker at a time: whole texts of a few MB in all, held by Spark and by the worker.
-BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "1000"
-
-
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages one after the other over documents."""
     docs, before = table(spark, sf_dir, "documents"), spark.conf.get(BATCH)
-    spark.conf.set(BATCH, BATCH_ROWS)
     try:
         for name, stage in STAGES:
             docs = written(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
