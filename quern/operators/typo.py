@@ -50,8 +50,11 @@ def spell_candidates(needles: DataFrame, vocabulary: DataFrame, threshold: float
     """
     edits = lambda n: F.floor(n / threshold * (1 - threshold) + 1e-9).cast("int")  # noqa: E731  of the longest word that can be this near
     term_length = F.char_length("term")
-    pieces = vocabulary.filter(term_length > 0).select("term", term_length.alias("length"), F.explode(_segments(F.col("term"), term_length, F.least(edits(term_length), term_length - 1))).alias("s"))
-    pieces = pieces.select("term", "length", F.col("s.nth").alias("nth"), F.substring("term", F.col("s.begin") + 1, F.col("s.size")).alias("piece"))
+    # As columns, not as an array that is built for each term: Spark generates code for these alone.
+    most_of = F.least(edits(F.col("length")), F.col("length") - 1)
+    terms = vocabulary.select("term", term_length.alias("length")).filter("length > 0").select("term", "length", most_of.alias("most"))
+    cut = terms.select("term", "length", "most", F.explode(F.sequence(F.lit(0), F.col("most"))).alias("nth")).select("term", "length", "nth", *(F.expr(f"CAST((nth + {k}) * length div (most + 1) AS int) AS {at}") for k, at in enumerate(("begin", "end"))))
+    pieces = cut.select("term", "length", "nth", F.substr("term", F.col("begin") + 1, F.col("end") - F.col("begin")).alias("piece"))
     own = F.char_length("needle")
     lengths = F.sequence(F.greatest(F.ceil(own * threshold - 1e-9).cast("int"), F.lit(1)), F.floor(own / threshold + 1e-9).cast("int"))
     wanted = needles.filter(own > 0).select("needle", F.explode(lengths).alias("length"))
