@@ -17,7 +17,7 @@ from quern.llm.common import free_name, written
 from quern.llm.exact_dedup import BLOCK, filter_blocks, filter_cells, is_set
 
 WIDTH = 64
-#: Shingles of one text that are voted on at a time.
+#: Hashes that are voted on at a time.
 CHUNK = 1 << 16
 LANES = np.uint64(0x0101010101010101)
 
@@ -32,26 +32,37 @@ def _votes(hashes: np.ndarray) -> np.ndarray:
     return out.reshape(WIDTH)
 
 
-def fingerprint(text: str | None, width: int = 3) -> int:
-    """SimHash of a text: bit b is set if it is set in over half the hashes of its word shingles.
+def shingle_hashes(text: str | None, width: int) -> np.ndarray:
+    """XXH64 (seed 42) of each word shingle, in order of the text, repeats included.
 
     Words are runs of bytes other than ASCII white space, A-Z in lower case; shingles are `width` words joined by
-    spaces, repeats included, hashed with XXH64 (seed 42). Fewer words make one shingle; none at all give 0.
+    spaces. Fewer words make one shingle; none at all give none.
     """
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words))) + np.arange(len(words))
     begins = np.concatenate([[0], ends[:-1] + 1])
     count = max(1, len(words) - width + 1)
     starts, stops = begins[:count].tolist(), ends[min(width, len(words)) - 1 :].tolist()
     digest = xxhash.xxh64_intdigest
+    return np.fromiter((digest(joined[i:j], 42) for i, j in zip(starts, stops, strict=True)), np.uint64, count)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The word whose bit b is set if it is set in over half the hashes; 0 if there are none."""
+    if not len(hashes):
+        return 0
     votes = np.zeros(WIDTH, np.int64)
-    for a in range(0, count, CHUNK):
-        part = [digest(joined[i:j], 42) for i, j in zip(starts[a : a + CHUNK], stops[a : a + CHUNK], strict=True)]
-        votes += _votes(np.array(part, np.uint64))
-    return int(np.packbits(2 * votes > count, bitorder="little").view(np.uint64)[0])
+    for a in range(0, len(hashes), CHUNK):
+        votes += _votes(hashes[a : a + CHUNK])
+    return int(np.packbits(2 * votes > len(hashes), bitorder="little").view(np.uint64)[0])
+
+
+def fingerprint(text: str | None, width: int = 3) -> int:
+    """SimHash of a text over its word shingles, repeats included; 0 without words."""
+    return majority(shingle_hashes(text, width))
 
 
 def _column_of(texts: pa.Array) -> pa.Array:
