@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import bpe, line_dedup, near_dedup, quality, source_mixing
+from quern.llm import bpe, line_dedup, near_copies, quality, source_mixing
 from quern.llm.common import table, written
 
 
@@ -40,7 +40,7 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near-duplicates, the document with the least doc_id; of rows that share it, one."""
     small_batches(spark)
-    return near_dedup.keep_one(docs)
+    return near_copies.keep_one(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
