@@ -8,13 +8,13 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, GroupedData
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern.llm.common import free_name, written
 from quern.llm.exact_dedup import BLOCK, filter_blocks, filter_cells, is_set
-from quern.llm.near_dedup import WIDTH, Joined, components, links, majority, shingle_hashes
+from quern.llm.near_dedup import Joined, components, links, majority, shingle_hashes
 
 #: Words of a shingle.
 SHINGLE = 5
@@ -80,11 +80,27 @@ def near_pairs(sign: np.ndarray, size: np.ndarray, block: np.ndarray, similarity
             yield x[wanted], y[wanted]
 
 
-def block_pairs(rows: DataFrame, group: str, blocks: str) -> DataFrame:
-    """rows, each in as many (group, low, high) as its group has blocks, and its own block: two rows of a group meet in one of them."""
+def tasks(rows: DataFrame, group: str, blocks: str, bundles: int) -> GroupedData:
+    """rows, dealt so that two rows of a group meet in one task, by (group, low, high), with their own block in column block.
+
+    Groups of one block are bundled, as most are small; of larger ones each pair of blocks is a task, so a row goes to as many as its group has blocks.
+    """
     own = rows.withColumn("block", F.pmod(F.xxhash64("fp"), F.col(blocks)))
     each = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col(blocks) - 1)))
-    return each.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other")).drop("other", blocks)
+    each = each.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other")).drop("other")
+    task = F.when(F.col(blocks) == 1, F.pmod(F.xxhash64(group), F.lit(bundles))).otherwise(F.xxhash64(group, "low", "high"))
+    # A number of partitions that is named stays: these rows are few bytes and much work.
+    return each.withColumn("task", task).drop(blocks).repartition(min(bundles + 8, 10_000), "task").groupBy("task")
+
+
+def met(rows: pd.DataFrame, group: str) -> Iterator[pd.DataFrame]:
+    """The rows of a task by (group, low, high)."""
+    rows = rows.sort_values([group, "low", "high"], kind="stable", ignore_index=True)
+    keys = rows[[group, "low", "high"]].to_numpy(np.int64)
+    cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1
+    for start, stop in zip(np.r_[0, cuts], np.r_[cuts, len(rows)], strict=True):
+        if stop - start > 1:
+            yield rows.iloc[start:stop]
 
 
 def _signs(rows: pd.DataFrame) -> np.ndarray:
@@ -103,21 +119,23 @@ def candidates(nodes: DataFrame, similarity: float, most: int, block_rows: int =
     distinct = written(held.groupBy("passage").agg(F.count("*").alias("rows")).select(F.col("passage").alias("fp"), "rows"), "passage-fingerprints")
     linked = components(links(distinct, most))
     classes = distinct.join(linked, distinct.fp == linked.node, "left").select(F.col("fp").alias("passage"), F.coalesce("component", "fp").alias("class"), "rows")
-    sizes = classes.groupBy("class").agg(F.sum("rows").alias("rows")).filter("rows > 1")
-    shared = written(classes.drop("rows").join(sizes, "class").select("passage", "class", F.ceil(F.col("rows") / block_rows).alias("blocks")), "passage-classes")
-    met = block_pairs(held.join(shared, "passage"), "class", "blocks")
+    sizes = classes.groupBy("class").agg(F.sum("rows").alias("in_class")).filter("in_class > 1")
+    shared = written(classes.join(sizes, "class").select("passage", "class", "rows", F.ceil(F.col("in_class") / block_rows).alias("blocks")), "passage-classes")
+    bundles = 1 + (shared.agg(F.sum("rows")).first()[0] or 0) // block_rows
 
     def pairs(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.drop_duplicates("fp")
-        fp, sets = rows["fp"].to_numpy(np.int64), Joined(len(rows))
-        for x, y in near_pairs(_signs(rows), rows["size"].to_numpy(np.int64), rows["block"].to_numpy(np.int64), similarity):
-            sets.add(x, y)
-        x = np.concatenate([a for a, _ in sets.kept]) if sets.kept else np.zeros(0, np.int64)
-        y = np.concatenate([b for _, b in sets.kept]) if sets.kept else np.zeros(0, np.int64)
-        return pd.DataFrame({"a": fp[x], "b": fp[y]})
+        ends = []
+        for own in met(rows, "class"):
+            fp, first = np.unique(own["fp"].to_numpy(np.int64), return_index=True)
+            sets, sign = Joined(len(fp)), _signs(own)[first]
+            for x, y in near_pairs(sign, own["size"].to_numpy()[first], own["block"].to_numpy()[first], similarity):
+                sets.add(x, y)
+            ends += [(fp[x], fp[y]) for x, y in sets.kept]
+        none = [np.zeros(0, np.int64)]
+        return pd.DataFrame({"a": np.concatenate([x for x, _ in ends] or none), "b": np.concatenate([y for _, y in ends] or none)})
 
-    wanted = met.select("class", "low", "high", "block", "fp", "sign", "sign2", "size")
-    return wanted.groupBy("class", "low", "high").applyInPandas(pairs, "a long, b long")
+    wanted = held.join(shared.drop("rows"), "passage").select("class", "blocks", "fp", "sign", "sign2", "size")
+    return tasks(wanted, "class", "blocks", bundles).applyInPandas(pairs, "a long, b long")
 
 
 def verified(texts: DataFrame, similarity: float, block_rows: int = 256, block_shingles: int = 1 << 21) -> DataFrame:
@@ -128,25 +146,28 @@ def verified(texts: DataFrame, similarity: float, block_rows: int = 256, block_s
     """
     many = F.greatest(F.ceil(F.count("*") / block_rows), F.ceil(F.sum("size") / block_shingles))
     sizes = written(texts.groupBy("component").agg(many.alias("blocks")), "candidate-blocks")
-    met = block_pairs(texts.join(sizes, "component"), "component", "blocks")
+    rows, shingles = texts.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    bundles = 1 + max(rows // block_rows, shingles // block_shingles)
 
     def pairs(rows: pd.DataFrame) -> pd.DataFrame:
-        fp, sets, found = rows["fp"].to_numpy(np.int64), Joined(len(rows)), []
-        hashes: dict[int, np.ndarray] = {}
-        for x, y in near_pairs(_signs(rows), rows["size"].to_numpy(np.int64), rows["block"].to_numpy(np.int64), similarity):
-            for i, j in zip(x.tolist(), y.tolist(), strict=True):
-                if sets.root[i] == sets.root[j]:
-                    continue
-                for k in (i, j):
-                    if k not in hashes:
-                        hashes[k] = np.unique(shingle_hashes(rows["text"].iat[k], SHINGLE))
-                if alike(hashes[i], hashes[j], similarity):
-                    sets.add(np.array([i]), np.array([j]))
-                    found.append((fp[i], fp[j]))
+        found = []
+        for own in met(rows, "component"):
+            fp, text, sets = own["fp"].to_numpy(np.int64), own["text"].to_numpy(), Joined(len(own))
+            hashes: dict[int, np.ndarray] = {}
+            for x, y in near_pairs(_signs(own), own["size"].to_numpy(), own["block"].to_numpy(), similarity):
+                for i, j in zip(x.tolist(), y.tolist(), strict=True):
+                    if sets.root[i] == sets.root[j]:
+                        continue
+                    for k in (i, j):
+                        if k not in hashes:
+                            hashes[k] = np.unique(shingle_hashes(text[k], SHINGLE))
+                    if alike(hashes[i], hashes[j], similarity):
+                        sets.add(np.array([i]), np.array([j]))
+                        found.append((fp[i], fp[j]))
         return pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
 
-    wanted = met.select("component", "low", "high", "block", "fp", "sign", "sign2", "size", "text")
-    return wanted.groupBy("component", "low", "high").applyInPandas(pairs, "a long, b long")
+    wanted = texts.join(sizes, "component").select("component", "blocks", "fp", "sign", "sign2", "size", "text")
+    return tasks(wanted, "component", "blocks", bundles).applyInPandas(pairs, "a long, b long")
 
 
 def probed(rows: DataFrame, row: str, few: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -28,12 +28,11 @@ def test_quality_stage_drops_what_it_scores_low(spark, stages):
     assert {r.doc_id for r in stages[1].collect()} == set(scored[scored["predicted"] == 1]["doc_id"])
 
 
-def test_near_dedup_stage_keeps_one_of_each_component(stages):
-    from tests.llm.test_near_dedup import brute, slow_fingerprint
+def test_near_dedup_stage_keeps_one_of_each_group(stages):
+    from tests.llm.test_near_copies import brute_kept
 
     rows = stages[2].collect()
-    want = set(brute([slow_fingerprint(r.text) for r in rows], [r.doc_id for r in rows]).values())
-    assert sorted(r.doc_id for r in stages[3].collect()) == sorted(want)
+    assert sorted(r.doc_id for r in stages[3].collect()) == brute_kept([(r.doc_id, r.text) for r in rows])
 
 
 def test_mixing_stage_uses_every_document(stages):
@@ -64,10 +63,3 @@ def test_empty_and_odd_documents(spark):
             assert out.count() <= 2 * max(1, docs.count()), name
             if name != corpus_pipeline.STAGES[-1][0]:
                 assert out.columns == docs.columns
-
-
-def test_keep_one_keeps_a_single_row_of_repeated_ones(spark):
-    from quern.llm.near_dedup import keep_one
-
-    docs = spark.createDataFrame([(5, "same text of some words", 1), (5, "same text of some words", 1), (None, "same text of some words", 2), (3, "wholly other things in here", 3)], "doc_id long, text string, fp int")
-    assert sorted((r.doc_id, r.fp) for r in keep_one(docs).collect()) == [(3, 3), (5, 1)]
