@@ -10,6 +10,8 @@ from quern.sources import store
 
 FOLDER = "/root/testdata/sf0.001"
 UNINDEXED = (
+    "term_df",
+    "vocabulary",
     "posting_totals",
     "postings",
     "positions",
