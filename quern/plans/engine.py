@@ -22,10 +22,10 @@ LIMIT, BLEND, LEAST_BLEND, SUGGESTIONS, KEPT_LATENCIES = 10, 0.4, 0.01, 6, 50
 SCORE_DECIMALS = 5
 
 
-def statistics(index: Index) -> DataFrame:
+def statistics(df: DataFrame, corpus: DataFrame) -> DataFrame:
     """One row: total_docs, vocab_size, title_vocab_size, avg_title_length, avg_body_length."""
-    terms = index.df.agg(F.count("*").alias("vocab_size"), F.count_if(F.col("title_df") > 0).alias("title_vocab_size"))
-    return index.corpus.join(terms).select(
+    terms = df.agg(F.count("*").alias("vocab_size"), F.count_if(F.col("title_df") > 0).alias("title_vocab_size"))
+    return corpus.join(terms).select(
         "total_docs", "vocab_size", "title_vocab_size", F.round("avg_title_length", 2).alias("avg_title_length"), F.round("avg_body_length", 2).alias("avg_body_length")
     )
 
@@ -141,7 +141,7 @@ class SearchEngine:
         return self.spark.range(first, first + total).select(F.col("id").alias("doc_id"))
 
     def stats(self) -> DataFrame:
-        return statistics(self.held)
+        return statistics(self.held.df, self.held.corpus)
 
     def health(self) -> dict:
         counts = self.stats().first()

@@ -10,6 +10,7 @@ from quern.sources import store
 
 FOLDER = "/root/testdata/sf0.001"
 UNINDEXED = (
+    "stats",
     "idf",
     "term_df",
     "vocabulary",
