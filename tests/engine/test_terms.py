@@ -4,12 +4,14 @@ import duckdb
 import pytest
 
 from quern.operators import index as I
+from quern.operators import rank, scan
 from quern.operators import terms as T
 from quern.plans import catalog
 from quern.sources import store
 
 FOLDER = "/root/testdata/sf0.001"
 UNINDEXED = (
+    "bm25",
     "stats",
     "idf",
     "term_df",
@@ -52,3 +54,26 @@ def test_terms_of_odd_texts(spark):
     assert got["hop", 4].title_tf == 2 and got["hop", 4].body_tf == 1 and got["hop~hop", 4].title_tf == 3
     lengths = {r.doc_id: (r.title_len, r.body_len) for r in I.doc_stats(docs).collect()}
     assert lengths == {d: tuple(sum(r[f] for r in got.values() if r.doc_id == d) for f in ("title_tf", "body_tf")) for d in (1, 2, 3, 4)}
+
+
+def test_scanned_bm25_is_that_of_the_index(spark):
+    texts = [(n, "red fox", "a red fox and a lazy dog " * (1 + n % 3), 1_000_000 - 86_400 * (n % 4)) for n in range(30)] + [(90, "", "", 0), (91, None, "dog dog", None)]
+    docs = I.as_documents(spark.createDataFrame(texts, store.DOCUMENTS))
+    asked = [(7, 0, "fox"), (7, 1, "red"), (7, 2, "fox"), (8, 0, "red~fox"), (8, 1, "dog"), (9, 0, "none"), (3, 0, "lazi")]
+    asked = spark.createDataFrame(asked, "qid long, pos int, term string")
+    index = I.build_index(docs, persist=False)
+    shown = ["qid", "rank", "doc_id", "matched_terms"]
+    wanted = rank.bm25(asked, index.postings, index.df, index.stats, index.corpus, 1_000_000, 5)
+    got = scan.bm25(asked, docs, 1_000_000, 5)
+    assert sorted(map(tuple, got.select(shown).collect())) == sorted(map(tuple, wanted.select(shown).collect()))
+    scores = [{(r.qid, r.doc_id): r.score for r in found.collect()} for found in (got, wanted)]
+    assert scores[0] == pytest.approx(scores[1], abs=1e-9)
+
+
+def test_snippets_need_no_index(spark, monkeypatch):
+    def refuse(docs):
+        raise AssertionError("the whole index was asked for")
+
+    monkeypatch.setattr(store, "scratch_index", refuse)
+    monkeypatch.setattr(catalog, "_held", {})
+    assert all(r.snippet for r in catalog.queries()["snippet"](spark, FOLDER).collect())
