@@ -11,6 +11,7 @@ from quern.sources import store
 
 FOLDER = "/root/testdata/sf0.001"
 UNINDEXED = (
+    "spell_correct",
     "vocab_trigrams",
     "matched_terms",
     "bm25",
