@@ -4,13 +4,17 @@ import duckdb
 import pytest
 
 from quern.operators import index as I
-from quern.operators import rank, scan
+from quern.operators import rank, scan, vectors
 from quern.operators import terms as T
 from quern.plans import catalog
 from quern.sources import store
 
 FOLDER = "/root/testdata/sf0.001"
 UNINDEXED = (
+    "tfidf",
+    "cosine",
+    "semantic",
+    "rrf",
     "spell_correct",
     "vocab_trigrams",
     "matched_terms",
@@ -80,3 +84,40 @@ def test_snippets_need_no_index(spark, monkeypatch):
     monkeypatch.setattr(store, "scratch_index", refuse)
     monkeypatch.setattr(catalog, "_held", {})
     assert all(r.snippet for r in catalog.queries()["snippet"](spark, FOLDER).collect())
+
+
+ODD = [(1, "a~bb cc~dd", "Cc~Dd cc dd x~yy~zz cc dd~ee~ff~gg", 0), (2, None, "cc dd dd ee ff gg bb", 0), (3, "", "", 0), (4, "cc", None, 0), (5, "bb bb", "hopping ~ hopped cc", 0)] + [
+    (n, "cc bb", "dd ee ff", 0) for n in range(6, 26)
+]
+
+
+@pytest.mark.parametrize("limits", [{}, {"HELD": 0}, {"NAMED": 0}, {"CELLS": 1}])
+def test_vectors_without_an_index_are_those_of_the_index(spark, monkeypatch, limits):
+    for name, value in limits.items():
+        monkeypatch.setattr(vectors, name, value)
+    docs = I.as_documents(spark.createDataFrame(ODD, store.DOCUMENTS))
+    asked = [(7, 0, "cc~dd"), (7, 1, "cc"), (7, 2, "cc"), (8, 0, "dd~ee"), (8, 1, "hop"), (8, 2, "none"), (9, 0, "none"), (3, 0, "gg"), (3, 1, "bb"), (3, 2, "ee")]
+    asked = spark.createDataFrame(asked, "qid long, pos int, term string")
+    index = I.build_index(docs)
+    rounded = lambda df, *keys: {tuple(r[k] for k in keys): pytest.approx([v for c, v in r.asDict().items() if c not in keys], abs=1e-9) for r in df.collect()}
+    plain = lambda df, *keys: {tuple(r[k] for k in keys): [v for c, v in r.asDict().items() if c not in keys] for r in df.collect()}
+    assert plain(vectors.vectors(docs), "doc_id", "term") == rounded(index.vectors, "doc_id", "term")
+    similar = rank.cosine(rank.query_vectors(asked, index.df, index.corpus), index.vectors)
+    own = vectors.Similarity(asked, docs)
+    assert plain(own.cosine(), "qid", "doc_id") == rounded(similar, "qid", "doc_id")
+    hits = spark.createDataFrame([(7, 5), (7, 1), (7, 20), (7, 3), (8, 5), (9, 1), (3, 25), (3, 2)], "qid long, doc_id long")
+    assert set(map(tuple, own.ranks(hits, 4).collect())) == set(map(tuple, rank.similar_ranks(similar, hits, 4).collect()))
+
+
+def test_blend_needs_no_index(spark, monkeypatch):
+    def refuse(docs):
+        raise AssertionError("the whole index was asked for")
+
+    monkeypatch.setattr(store, "scratch_index", refuse)
+    monkeypatch.setattr(catalog, "_held", {})
+    with duckdb.connect() as db:
+        for table in ("documents", "benchmark"):
+            db.execute(f"CREATE VIEW {table} AS SELECT * FROM '{FOLDER}/{table}.parquet'")
+        wanted = {r[:4]: r[4] for r in db.sql(catalog.oracle_sql()["blend"]).fetchall()}
+    got = {tuple(r)[:4]: r.score for r in catalog.queries()["blend"](spark, FOLDER).select("blend", "qid", "rank", "doc_id", "score").collect()}
+    assert got == pytest.approx(wanted, abs=1.1e-5)  # the fifth decimal of a sum that ends in a five is open
