@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.sources.scratch import Scope as Scope  # what releases their tables
 from quern.sources.scratch import written as written  # what the operators cut lineage with
 
 

@@ -8,7 +8,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import text_of, written
+from quern.llm.common import Scope, text_of, written
 from quern.llm.exact_dedup import may_hold
 
 #: ASCII white space other than the line feed, which ends lines.
@@ -123,9 +123,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     lose all lines. A text may be of any length; its lines are hashed where it lies. Columns of docs may have any names, as they come back inside
     `row` alone. An empty table gives an empty one.
     """
-    lines = written(parsed_lines(docs, id_col, text_col), "lines")
-    drops = recurring_lines(lines).groupBy("doc", "id").agg(F.collect_set("line").alias("dropped"))
-    drops = written(drops.withColumnRenamed("doc", "drop_doc"), "line-numbers")
+    with Scope() as scope:
+        lines = written(parsed_lines(docs, id_col, text_col), "lines")
+        drops = recurring_lines(lines).groupBy("doc", "id").agg(F.collect_set("line").alias("dropped"))
+        drops = scope.kept(drops.withColumnRenamed("doc", "drop_doc"), "line-numbers")
     text = text_of(text_col)
     whole = docs.select(F.struct("*").alias("row"), F.xxhash64(F.col(id_col), text).alias("doc"), F.col(id_col).alias("own_id"), text.alias("text"))
 

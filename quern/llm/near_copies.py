@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, GroupedData
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.common import free_name, written
+from quern.llm.common import Scope, free_name, written
 from quern.llm.exact_dedup import BLOCK, filter_blocks, filter_cells, is_set
 from quern.llm.near_dedup import Joined, components, links, majority, shingle_hashes
 
@@ -216,21 +216,22 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mo
             columns += [pa.array([s.size for s in found], pa.int64()), pa.array([s.passages for s in found], pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, *names[:5]])
 
-    rows = written(docs.mapInArrow(sketched, schema).withColumn(row, F.monotonically_increasing_id()), "near-copies-rows")
-    narrow = rows.select(F.col(id_col).alias("doc_id"), *(F.col(n).alias(m) for n, m in zip(names, ("fp", "sign", "sign2", "size", "passages", "row"), strict=True)))
-    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")
-    firsts = narrow.groupBy("fp").agg(F.min(F.struct(order.alias("first"), "sign", "sign2", "size", "passages")).alias("least"))
-    nodes = written(firsts.select("fp", "least.*"), "near-copies-nodes")
-
-    near = components(written(candidates(nodes, similarity, most), "near-copies-candidates"))
-    looked_at = nodes.join(near, nodes.fp == near.node).select("fp", F.col("first.row").alias(row), "sign", "sign2", "size", "component")
-    looked_at = written(looked_at, "near-copies-looked-at")
-    texts = probed(rows.select(row, F.col(text_col).alias("text")), row, looked_at)[1].join(looked_at, row).drop(row)
-    edges = links(nodes.select("fp"), most).unionByName(verified(written(texts, "near-copies-texts"), similarity))
-    group = components(written(edges, "near-copies-links"))
-
-    named = nodes.join(group, nodes.fp == group.node, "left").select(F.coalesce("component", "fp").alias("component"), "first")
-    stay = named.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.row").alias(row))
-    gone = written(rows.select(row).join(stay, row, "left_anti"), "near-copies-gone")
+    with Scope() as scope:
+        rows = scope.kept(docs.mapInArrow(sketched, schema).withColumn(row, F.monotonically_increasing_id()), "near-copies-rows")
+        narrow = rows.select(F.col(id_col).alias("doc_id"), *(F.col(n).alias(m) for n, m in zip(names, ("fp", "sign", "sign2", "size", "passages", "row"), strict=True)))
+        order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")
+        firsts = narrow.groupBy("fp").agg(F.min(F.struct(order.alias("first"), "sign", "sign2", "size", "passages")).alias("least"))
+        nodes = written(firsts.select("fp", "least.*"), "near-copies-nodes")
+
+        near = components(written(candidates(nodes, similarity, most), "near-copies-candidates"))
+        looked_at = nodes.join(near, nodes.fp == near.node).select("fp", F.col("first.row").alias(row), "sign", "sign2", "size", "component")
+        looked_at = written(looked_at, "near-copies-looked-at")
+        texts = probed(rows.select(row, F.col(text_col).alias("text")), row, looked_at)[1].join(looked_at, row).drop(row)
+        edges = links(nodes.select("fp"), most).unionByName(verified(written(texts, "near-copies-texts"), similarity))
+        group = components(written(edges, "near-copies-links"))
+
+        named = nodes.join(group, nodes.fp == group.node, "left").select(F.coalesce("component", "fp").alias("component"), "first")
+        stay = named.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.row").alias(row))
+        gone = scope.kept(rows.select(row).join(stay, row, "left_anti"), "near-copies-gone")
     alone, maybe = probed(rows.select(*docs.columns, row), row, gone)
     return alone.select(docs.columns).unionByName(maybe.join(gone, row, "left_anti").select(docs.columns))

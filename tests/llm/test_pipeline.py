@@ -63,3 +63,32 @@ def test_empty_and_odd_documents(spark):
             assert out.count() <= 2 * max(1, docs.count()), name
             if name != corpus_pipeline.STAGES[-1][0]:
                 assert out.columns == docs.columns
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    import time
+
+    from pyspark.sql import functions as F
+
+    from quern.llm.common import written
+
+    held = lambda: {x for x in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n") if "shuffle_" in x}
+    before = held()
+    out = written(spark.range(100_000).groupBy((F.col("id") % 50_000).alias("k")).count(), "test-shuffled")
+    until = time.time() + 10
+    while held() - before and time.time() < until:
+        time.sleep(0.1)
+    assert not held() - before and out.count() == 50_000
+
+
+def test_stages_release_the_tables_their_results_do_not_need(spark):
+    from quern.llm import line_dedup, near_copies
+    from quern.llm.common import table
+    from quern.sources import scratch
+
+    docs = table(spark, SF, "documents")
+    for stage, needed in ((line_dedup.dedup_lines, ["line-numbers"]), (near_copies.keep_one, ["near-copies-gone", "near-copies-rows"])):
+        before = set(scratch._made)
+        out = stage(docs)
+        assert sorted(path.rsplit("/", 1)[1].rsplit("-", 1)[0] for made in scratch._made if made not in before for path in made[1:]) == needed
+        assert 0 < out.count() <= docs.count()
