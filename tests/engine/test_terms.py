@@ -121,3 +121,8 @@ def test_blend_needs_no_index(spark, monkeypatch):
         wanted = {r[:4]: r[4] for r in db.sql(catalog.oracle_sql()["blend"]).fetchall()}
     got = {tuple(r)[:4]: r.score for r in catalog.queries()["blend"](spark, FOLDER).select("blend", "qid", "rank", "doc_id", "score").collect()}
     assert got == pytest.approx(wanted, abs=1.1e-5)  # the fifth decimal of a sum that ends in a five is open
+
+
+@pytest.mark.parametrize("name", ["trigram_suggest", "correct_query"])
+def test_nearest_terms_need_no_index(spark, monkeypatch, name):
+    test_no_index_is_written_for_it(spark, monkeypatch, name)
