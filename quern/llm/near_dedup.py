@@ -18,6 +18,9 @@ WIDTH = 64
 #: Hashes that are voted on at a time.
 CHUNK = 1 << 16
 LANES = np.uint64(0x0101010101010101)
+#: Edges of which the driver makes components: 4 MB.
+FEW = 250_000
+COMPONENTS = pa.schema([("node", pa.int64()), ("component", pa.int64())])
 
 
 def _votes(hashes: np.ndarray) -> np.ndarray:
@@ -232,15 +235,30 @@ def links(fps: DataFrame, most: int = 3, shard_rows: int = 32_768, sample_rows:
     return dealt.groupBy("shard").applyInPandas(search, "a long, b long")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def _joined(edges: DataFrame) -> DataFrame:
+    """What components() gives, from edges that the driver holds."""
+    ends = edges.toArrow()
+    a, b = (ends[c].to_numpy() for c in ("a", "b"))
+    nodes = np.unique(np.concatenate([a, b]))
+    sets = Joined(len(nodes))
+    sets.add(np.searchsorted(nodes, a), np.searchsorted(nodes, b))
+    found = pa.table({"node": nodes, "component": nodes[sets.root]}, schema=COMPONENTS)
+    return edges.sparkSession.createDataFrame(found)
+
+
+def components(edges: DataFrame, few: int = FEW) -> DataFrame:
     """node, component for each node of the edges (a, b): the least node that it is connected with.
 
-    Each round every node takes the least label among its own, its neighbours' and its label's label, so labels travel
+    Up to `few` edges are joined by the driver, as each round's plans and broadcasts cost it more memory than these. With more, each
+    round every node takes the least label among its own, its neighbours' and its label's label, so labels travel
     twice as far each time; sums and minima are combined before each shuffle. A round's table is written, and the
     rounds end when no label changed.
     """
+    edges = written(edges.select("a", "b").distinct(), "links")
+    if edges.count() <= few:
+        return written(_joined(edges), "labels")
     ends = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
-    both = written(edges.select(ends.alias("e")).select("e.a", "e.b").distinct(), "links")
+    both = edges.select(ends.alias("e")).select("e.a", "e.b")
     labels = written(both.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("node"), F.least("a", "least").alias("label")), "labels")
     while True:
         offered = both.join(labels, both.b == labels.node).select(F.col("a").alias("node"), "label")

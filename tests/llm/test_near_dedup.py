@@ -1,8 +1,10 @@
 import random
 
 import numpy as np
+import pytest
 import xxhash
 
+from quern.llm import near_dedup
 from quern.llm.near_dedup import components, fingerprint, linked_in, links, near_duplicates
 
 
@@ -101,6 +103,18 @@ def test_long_chain_is_one_component(spark):
     assert {r.component for r in components(edges).collect()} == {0}
 
 
+@pytest.mark.parametrize("few", [0, 1000])
+def test_components_of_few_and_of_many_edges(spark, monkeypatch, few):
+    tables = []
+    monkeypatch.setattr(near_dedup, "written", lambda df, name, make=near_dedup.written: tables.append(name) or make(df, name))
+    ends = [(-5, 3), (3, 9), (9, -5), (9, 3), (7, 7), (1 << 62, -(1 << 62)), *((100 + i, 101 + i) for i in range(40))]
+    edges = spark.createDataFrame(ends, "a long, b long")
+    got = {r.node: r.component for r in near_dedup.components(edges, few).collect()}
+    assert got == {-5: -5, 3: -5, 9: -5, 7: 7, 1 << 62: -(1 << 62), -(1 << 62): -(1 << 62), **{100 + i: 100 for i in range(41)}}
+    assert not few or len(tables) == 2  # no rounds, whose plans stay with the driver
+    assert near_dedup.components(edges.limit(0), few).count() == 0
+
+
 def test_near_duplicates_edge_cases(spark):
     base = " ".join(f"word{i}" for i in range(400))
     rows = [(1, base), (2, base), (3, base + " more"), (4, None), (5, ""), (5, "other text here"), (None, "alone and unlike"), (9, "x" * 100000)]
