@@ -134,7 +134,7 @@ def odd_tables(spark):
     return docs, spark.createDataFrame(asked, "qid long, pos int, term string")
 
 
-@pytest.mark.parametrize("name", ["rrf", "semantic", "cosine", "blend"])
+@pytest.mark.parametrize("name", ["tfidf", "cosine", "semantic", "rrf", "blend"])
 def test_vectors_are_not_shuffled_however_many_lexemes(spark, monkeypatch, name):
     def refuse(*_):
         raise AssertionError("the documents' vectors were asked for as rows")
