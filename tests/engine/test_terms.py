@@ -1,10 +1,12 @@
 """Queries that make what they need from the documents, and no more of the index."""
 
+import re
+
 import duckdb
 import pytest
 
 from quern.operators import index as I
-from quern.operators import rank, scan, vectors
+from quern.operators import nearest, rank, scan, vectors
 from quern.operators import terms as T
 from quern.plans import catalog
 from quern.sources import store
@@ -166,3 +168,63 @@ def test_a_chunk_looks_once_for_the_bucket_of_a_term(monkeypatch):
     packs = {r["bucket"]: vectors._opened(r["size"], r["pack"])[8 * r["n"] :].decode().split("\n") for r in rows if r["bucket"] >= 0}
     assert sorted(t for terms in packs.values() for t in terms) == ["dog", "fox", "lazy", "owl", "red"]
     assert all(terms == sorted(terms) and {vectors.T.crc32(t.encode()) % vectors.BUCKETS for t in terms} == {b} for b, terms in packs.items())
+
+
+def nearest_by_comparing_all(tokens, docs, k):
+    """token, rank, term, jaccard, each token compared with each run of one to three stems of a field."""
+    grams = lambda w: [f"${w}$"[i : i + 3] for i in range(len(w))]
+    fields = [T._stems(re.sub(r"[\W\d_]", " ", text), T._Stems(T.stem_word)) for d in docs for text in d[1:3]]
+    terms = sorted({t for stems in fields for size in T.SIZES for t in T._runs(stems, size)})
+    out = []
+    for token in tokens:
+        own = set(grams(token))
+        scored = [(-both / (len(own) + len(t) - both), t) for t in terms if (both := sum(g in own for g in grams(t)))]
+        out += [(token, rank, t, -j) for rank, (j, t) in enumerate(sorted(x for x in scored if -x[0] >= 0.25)[:k], 1)]
+    return out
+
+
+NEAR = [
+    (1, "Banana ban a nab", "banan~banana bananas, été ete é aa aaa aaaa b an ana: the then them thing the"),
+    (2, "", "ban ana ban ana ban anan search engine searching engines far research é été x serch engin the ban"),
+    (3, "été d'été", "la la la la lala lal a la " + "abcdefghij" * 40),
+    (4, "then thing", "the ban nab the nab an" + " é" * 5),
+    (5, "x", "7"),
+]
+
+
+@pytest.mark.parametrize("limits", [{}, {"WORDS": 5, "STEP": 1}, {"DIFFERENT": 2, "STEP": 1}, {"TOKENS": 2, "CELLS": 1, "PAIRS": 1, "FIRST": 2}])
+@pytest.mark.parametrize("k", [1, 3, 5])
+def test_nearest_terms_are_those_of_all_pairs(spark, monkeypatch, limits, k):
+    for name, value in limits.items():
+        monkeypatch.setattr(nearest, name, value)
+    tokens = ["aaa", "banan", "bananaban", "été", "lalala", "serch", "searchengin", "thethen", "zzz", "", "é", "abcdefghij" * 35]
+    docs = spark.createDataFrame([(*d, 0) for d in NEAR], store.DOCUMENTS).coalesce(1)
+    asked = spark.createDataFrame([(t,) for t in [*tokens, "aaa"]], "token string")
+    got = sorted(map(tuple, nearest.suggest(asked, docs, limit=k).collect()))
+    assert got == sorted(nearest_by_comparing_all(tokens, NEAR, k))
+
+
+def test_known_tokens_stay_and_others_become_the_nearest_term(spark):
+    docs = spark.createDataFrame([(*d, 0) for d in NEAR], store.DOCUMENTS)
+    typed = ["the", "banan", "zzz", "é", "", "aaa", "thin", "serch"]
+    asked = spark.createDataFrame(list(enumerate(typed)), "pos int, token string")
+    terms = set(T._stems(re.sub(r"[\W\d_]", " ", " ".join(t for d in NEAR for t in d[1:3])), T._Stems(T.stem_word)))
+    better = {t: term for t, _, term, _ in nearest_by_comparing_all(typed, NEAR, 1) if t not in terms}
+    got = {r.pos: (r.token, r.term, r.corrected) for r in nearest.correct_tokens(asked, docs).collect()}
+    assert got == {n: (t, better.get(t, t), t in better) for n, t in enumerate(typed)}
+    assert better and terms & set(typed)
+
+
+def test_tokens_with_joiners_are_refused(spark):
+    docs = spark.createDataFrame([(*d, 0) for d in NEAR], store.DOCUMENTS)
+    with pytest.raises(ValueError):
+        nearest.suggest(spark.createDataFrame([("ban~ana",)], "token string"), docs)
+
+
+@pytest.mark.parametrize("name", ["correct_query"])
+def test_nearest_terms_need_no_vocabulary(spark, monkeypatch, name):
+    def refuse(*_):
+        raise AssertionError("the whole vocabulary was asked for")
+
+    monkeypatch.setattr(T, "frequencies", refuse)
+    test_no_index_is_written_for_it(spark, monkeypatch, name)
